@@ -249,7 +249,7 @@ def test_encoder_equals_the_tokenizer_on_odd_texts():
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(queries.tokenizer_path())
-    many = ["Don't STOP", "a b ́c é <|endoftext|> x", "\x1c\x1d 12 345", "日本 語😀 ΣΑΣ İ", "", "a\rb\x0bc\x0c d"]
+    many = ["".join(chr(c) for c in range(0x260)), "".join(f"{chr(c)}A {chr(c)}" for c in range(0x240)), "w " * 700_000, "é" * 1_500_000, "Don't STOP''S", "a b ́c é <|endoftext|> x", "\x1c\x1d 12 345", "日本 語😀 ΣΑΣ İ", "", "a\rb\x0bc\x0c d"]
     encoder = token_store.Encoder(queries.tokenizer_path(), cache=4)
     for t, ids in zip(many * 2, encoder.encode([t.encode() for t in many]) * 2, strict=True):
         assert ids.tolist() == tokenizer.encode(t, add_special_tokens=False).ids + [2]
