@@ -33,12 +33,14 @@ from .quality import held_out, training_ids
 
 TRAIN_ROWS = 6000
 MODULUS, REST, CUT = 4, 2, 0.3
-#: Lexicon entries at most, letters of a word beginning, texts an entry must occur in, and its least odds.
+#: Lexicon entries at most, letters of a word beginning, toxic texts an entry must occur in, and its least odds.
 ENTRIES = 64
 BEGINNINGS = range(3, 9)
-LEAST_TEXTS = 4
+LEAST_TEXTS = {"word": 5, "beginning": 2}
 LEAST_ODDS = 12.0
 ROUNDS = 40
+#: Texts that a voter's start counts for.
+PRIOR = 50.0
 #: Votes each text's lexicon hits are turned into: total and distinct hits at or above.
 PATTERNS = ((1, 1), (2, 1), (3, 2), (5, 3))
 _LETTERS = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -50,12 +52,10 @@ def normal(text: bytes) -> str:
 
 
 def grams(text: bytes) -> set[str]:
-    """The whole words and word beginnings of a text, as lexicon entries."""
-    found = set()
-    for w in set(normal(text).split()):
-        found.add(f" {w} ")
-        found.update(f" {w[:n]}" for n in BEGINNINGS if n <= len(w))
-    return found
+    """The lexicon entries a text speaks for: its words, and beginnings that two of them share."""
+    words = normal(text).split()
+    starts = Counter(w[:n] for w in words for n in BEGINNINGS if n <= len(w))
+    return {f" {w} " for w in words} | {f" {w}" for w, n in starts.items() if n > 1}
 
 
 def choose(counted: list[tuple[str, int, float]]) -> list[str]:
@@ -110,25 +110,27 @@ def inputs(counts: np.ndarray) -> np.ndarray:
 def label_model(fired: np.ndarray, label: np.ndarray) -> dict:
     """Rates of firing by class, shares of correlated voters, and the posterior of each text.
 
-    The labels set the start and the class balance; expectation maximisation
-    then moves the rates on all texts, with the start as a prior.
+    The given label is one more voter, whose errors are estimated like any
+    other's; it alone keeps a full vote. Rates start from the labels, and
+    expectation maximisation moves them on all texts with that start as a prior.
     """
-    balance = float(np.clip(label.mean(), 1e-4, 0.5))
-    start = np.array([(fired[label == c].sum(0) + 0.5) / ((label == c).sum() + 1) for c in (0, 1)])
-    rate, share = start.copy(), np.ones(fired.shape[1])
-    posterior = label.astype(float)
+    every = np.column_stack([fired, label])
+    start = np.array([(every[label == c].sum(0) + 0.5) / ((label == c).sum() + 1) for c in (0, 1)])
+    start[:, -1] = (0.02, 0.9)
+    rate, share = start.copy(), np.ones(every.shape[1])
+    balance, posterior, prior = float(label.mean()), label.astype(float), PRIOR
     for _ in range(ROUNDS):
-        log = [share * (fired * np.log(rate[c]) + (1 - fired) * np.log(1 - rate[c])) for c in (0, 1)]
-        gain = (log[1] - log[0]).sum(1) + np.log(balance / (1 - balance))
-        posterior = 1 / (1 + np.exp(-np.clip(gain, -30, 30)))
         weights = np.stack([1 - posterior, posterior])
-        prior = 50.0
-        rate = np.clip((weights @ fired + prior * start) / (weights.sum(1, keepdims=True) + prior), 1e-5, 1 - 1e-5)
-        residual = fired - posterior[:, None] * rate[1] - (1 - posterior[:, None]) * rate[0]
+        rate = np.clip((weights @ every + prior * start) / (weights.sum(1, keepdims=True) + prior), 1e-5, 1 - 1e-5)
+        residual = every - posterior[:, None] * rate[1] - (1 - posterior[:, None]) * rate[0]
         spread = np.sqrt((residual**2).mean(0)) + 1e-6
-        correlation = np.abs(residual.T @ residual / len(fired) / np.outer(spread, spread))
+        correlation = np.abs(residual.T @ residual / len(every) / np.outer(spread, spread))
         np.fill_diagonal(correlation, 0)
         share = 1 / (1 + np.where(correlation > 0.1, correlation, 0).sum(1))
+        share[-1] = 1
+        log = [share * (every * np.log(rate[c]) + (1 - every) * np.log(1 - rate[c])) for c in (0, 1)]
+        gain = (log[1] - log[0]).sum(1) + np.log(balance / (1 - balance))
+        posterior = 1 / (1 + np.exp(-np.clip(gain, -30, 30)))
     return {"rate": rate, "share": share, "balance": balance, "posterior": posterior}
 
 
@@ -166,7 +168,7 @@ def mine(known: DataFrame) -> list[str]:
     if totals is None or not totals["toxic"] or not totals["other"]:
         return []
     odds = (F.col("toxic") / totals["toxic"]) / ((F.col("other") + 0.5) / totals["other"])
-    telling = counted.where("gram <> ''").where(F.col("toxic") >= LEAST_TEXTS).select("gram", "toxic", odds.alias("odds")).where(F.col("odds") >= LEAST_ODDS)
+    telling = counted.where("gram <> ''").where(F.col("toxic") >= F.when(F.col("gram").endswith(" "), LEAST_TEXTS["word"]).otherwise(LEAST_TEXTS["beginning"])).select("gram", "toxic", odds.alias("odds")).where(F.col("odds") >= LEAST_ODDS)
     best = telling.orderBy((F.col("toxic") * F.log("odds")).desc(), "gram").limit(50 * ENTRIES)
     return choose([tuple(r) for r in best.collect()])
 
