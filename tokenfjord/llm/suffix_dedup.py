@@ -21,9 +21,13 @@ too, in the same document or in another. The steps:
 4. *Spans.* Marked windows of a context share its anchor, so they form one span.
    The spans are joined back to the documents and merged.
 
-Groups of one anchor with more than ``MOST_GROUP`` different contexts, which
-would land in one task, are dealt by the hash of each whole window at its
-column instead, and counted by a plain aggregation.
+Groups of one anchor with more than ``MOST_GROUP`` different contexts, such as
+those of a line that very many documents share, would land in one task. Their
+contexts are dealt anew: the columns at which a window may start are cut into
+parts, and all windows of a part share the bytes from its last start to its
+first end, so contexts meet by the hash of those bytes. What is still too many
+is cut into more parts, and at last dealt by the hash of each whole window at
+its column and counted by a plain aggregation.
 
 Defined results: a null text is empty; equal rows cover each other; documents
 shorter than the window lose nothing.
@@ -47,8 +51,9 @@ from .decontam import merged
 WINDOW = 400
 GRAM = 64
 LEFT = WINDOW - GRAM
-#: Different contexts of one anchor that one task takes.
-MOST_GROUP = 50_000
+#: Different contexts of one group that one task takes, and the parts that larger groups are cut into, in turn.
+MOST_GROUP = 4096
+PARTS = (2, 8)
 #: Strings that are sorted together, and bytes that are scanned together.
 BLOCK_STRINGS = 32_768
 SLAB = 1 << 20
@@ -319,18 +324,55 @@ def _marks_by_window(contexts: DataFrame) -> DataFrame:
     return found.agg(F.min("col").alias("first"), F.max("col").alias("last"))
 
 
+def _part_batches(parts: int):  # noqa: ANN202
+    edges = [k * (LEFT + 1) // parts for k in range(parts + 1)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "context", 1 << 20):
+            owner, keys, which = [], [], []
+            for k, (left, context) in enumerate(zip(batch.column("left").to_pylist(), batch.column("context").to_pylist(), strict=True)):
+                for part, (low, high) in enumerate(zip(edges, edges[1:], strict=False)):
+                    a, b = high - 1 - LEFT + left, low + WINDOW - LEFT + left
+                    if a >= 0 and b <= len(context):  # else no window of the context starts in this part
+                        owner.append(k)
+                        keys.append(xxhash.xxh64_intdigest(context[a:b]))
+                        which.append(part)
+            rows = pa.array(owner, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array(np.array(keys, np.uint64).view(np.int64)), *(batch.column(c).take(rows) for c in ("c1", "c2", "context", "left", "mult"))], ["part", "anchor", "c1", "c2", "context", "left", "mult"])
+
+    return run
+
+
+def _sorted_marks(groups: DataFrame) -> DataFrame:
+    n = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return groups.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(_sort_batches, MARKS)
+
+
 def marks(contexts: DataFrame, most_group: int | None = None) -> DataFrame:
     """(c1, c2, first, last) of each context with repeated windows."""
     most_group = most_group or MOST_GROUP
-    distinct = contexts.groupBy("anchor", "c1", "c2").agg(F.first("context").alias("context"), F.first("left").alias("left"), F.sum(F.size("places").cast("long")).alias("mult"))
-    hot = contexts.select("anchor", "c1", "c2").distinct().groupBy("anchor").count().where(F.col("count") > most_group).select("anchor")
-    hot = materialize(hot, "suffix-hot")
-    n = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if hot.isEmpty():
-        return distinct.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(_sort_batches, MARKS)
-    cold = distinct.join(hot, "anchor", "left_anti")
-    sorted_marks = cold.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(_sort_batches, MARKS)
-    return sorted_marks.unionByName(_marks_by_window(distinct.join(hot, "anchor", "left_semi")))
+    groups = contexts.groupBy("anchor", "c1", "c2").agg(F.first("context").alias("context"), F.first("left").alias("left"), F.sum(F.size("places").cast("long")).alias("mult"))
+    groups, narrow, here = groups.withColumn("part", F.lit(0)), contexts.select(F.lit(0).alias("part"), "anchor", "c1", "c2").distinct(), 1
+    found: list[DataFrame] = []
+    for parts in (*PARTS, 0):
+        hot = materialize(narrow.groupBy("part", "anchor").count().where(F.col("count") > most_group).select("part", "anchor"), "suffix-hot")
+        any_hot = not hot.isEmpty()
+        cold = groups.join(hot, ["part", "anchor"], "left_anti") if any_hot else groups
+        # a context comes once in each part, and must not meet itself
+        found += [_sorted_marks(cold.where(F.col("part") == k)) for k in range(here)]
+        if not any_hot:
+            break
+        large = groups.join(hot, ["part", "anchor"], "left_semi").dropDuplicates(["c1", "c2"])
+        if not parts:
+            found.append(_marks_by_window(large))
+            break
+        dealt = large.mapInArrow(_part_batches(parts), "part int, anchor long, c1 long, c2 long, context binary, left int, mult long")
+        groups, here = materialize(dealt, "suffix-parts"), parts
+        narrow = groups.select("part", "anchor", "c1", "c2")
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return every.groupBy("c1", "c2").agg(F.min("first").alias("first"), F.max("last").alias("last"))
 
 
 REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
