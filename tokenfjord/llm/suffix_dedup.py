@@ -52,7 +52,7 @@ WINDOW = 400
 GRAM = 64
 LEFT = WINDOW - GRAM
 #: Different contexts of one group that one task takes, and the parts that larger groups are cut into, in turn.
-MOST_GROUP = 4096
+MOST_GROUP = 16_384
 PARTS = (2, 8)
 #: Strings that are sorted together, and bytes that are scanned together.
 BLOCK_STRINGS = 32_768
