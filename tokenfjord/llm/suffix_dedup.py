@@ -22,12 +22,13 @@ too, in the same document or in another. The steps:
    The spans are joined back to the documents and merged.
 
 Groups of one anchor with more than ``MOST_GROUP`` different contexts, such as
-those of a line that very many documents share, would land in one task. Their
+those of a passage that very many documents share, would land in one task. Their
 contexts are dealt anew: the columns at which a window may start are cut into
-parts, and all windows of a part share the bytes from its last start to its
-first end, so contexts meet by the hash of those bytes. What is still too many
-is cut into more parts, and at last dealt by the hash of each whole window at
-its column and counted by a plain aggregation.
+parts. All windows of a part share the bytes from its last start to its first
+end, so contexts meet by the hash of those bytes; and a context is trimmed to
+what its windows of the part can reach, so that contexts that differ elsewhere
+become equal and are kept once. Groups that are still too large are cut into
+more parts, until a part is a single window and a count decides.
 
 Defined results: a null text is empty; equal rows cover each other; documents
 shorter than the window lose nothing.
@@ -53,7 +54,7 @@ GRAM = 64
 LEFT = WINDOW - GRAM
 #: Different contexts of one group that one task takes, and the parts that larger groups are cut into, in turn.
 MOST_GROUP = 16_384
-PARTS = (2, 8)
+PARTS = (4, 16, 64, LEFT + 1)
 #: Strings that are sorted together, and bytes that are scanned together.
 BLOCK_STRINGS = 32_768
 SLAB = 1 << 20
@@ -287,92 +288,95 @@ def _marks(batch: pa.Table) -> pa.RecordBatch:
 
 
 def _sort_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by anchor; whole groups are sorted in blocks."""
+    """Rows come sorted by part and anchor; whole groups of one part are sorted in blocks.
+
+    A context may come in several parts, and must not meet itself.
+    """
     held: list[pa.RecordBatch] = []
     size = 0
+
+    def by_part(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        part = table.column("part").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+        for x, y in zip(cuts, cuts[1:], strict=False):
+            yield from _marks(table.slice(x, y - x)).to_batches()
+
     for batch in batches:
         held.append(batch)
         size += batch.num_rows
         if size < BLOCK_STRINGS:
             continue
         table = pa.Table.from_batches(held)
-        anchor = table.column("anchor").to_numpy()
-        cut = int(np.searchsorted(anchor, anchor[-1]))
+        part, anchor = table.column("part").to_numpy(), table.column("anchor").to_numpy()
+        last = np.flatnonzero((part != part[-1]) | (anchor != anchor[-1]))
+        cut = int(last[-1]) + 1 if len(last) else 0
         if cut:
-            yield from _marks(table.slice(0, cut)).to_batches()
+            yield from by_part(table.slice(0, cut))
             table = table.slice(cut)
         held, size = table.to_batches(), table.num_rows
     if size:
-        yield from _marks(pa.Table.from_batches(held)).to_batches()
+        yield from by_part(pa.Table.from_batches(held))
 
 
-def _window_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each window of each context by its column and 128-bit hash."""
-    for batch in pieces(batches, "context", 1 << 19):
-        rows = []
-        for c1, c2, left, context, mult in zip(*(batch.column(x).to_pylist() for x in ("c1", "c2", "left", "context", "mult")), strict=True):
-            for a in range(len(context) - WINDOW + 1):
-                rows.append((c1, c2, LEFT - left + a, xxhash.xxh3_128_digest(context[a : a + WINDOW]), mult))
-        columns = list(zip(*rows, strict=True)) or [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64()), strict=True)], ["c1", "c2", "col", "window", "mult"])
-
-
-def _marks_by_window(contexts: DataFrame) -> DataFrame:
-    windows = materialize(contexts.mapInArrow(_window_batches, "c1 long, c2 long, col int, window binary, mult long"), "suffix-windows")
-    twice = windows.groupBy("col", "window").agg(F.sum("mult").alias("n")).where("n > 1").drop("n")
-    found = windows.join(twice, ["col", "window"]).groupBy("c1", "c2")
-    return found.agg(F.min("col").alias("first"), F.max("col").alias("last"))
+GROUPS = "part int, anchor long, c1 long, c2 long, context binary, left int, mult long"
 
 
 def _part_batches(parts: int):  # noqa: ANN202
     edges = [k * (LEFT + 1) // parts for k in range(parts + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "context", 1 << 20):
-            owner, keys, which = [], [], []
-            for k, (left, context) in enumerate(zip(batch.column("left").to_pylist(), batch.column("context").to_pylist(), strict=True)):
+        for batch in pieces(batches, "context", 1 << 19):
+            rows = []
+            for c1, c2, context, left, mult in zip(*(batch.column(x).to_pylist() for x in ("c1", "c2", "context", "left", "mult")), strict=True):
+                start = LEFT - left
                 for part, (low, high) in enumerate(zip(edges, edges[1:], strict=False)):
-                    a, b = high - 1 - LEFT + left, low + WINDOW - LEFT + left
-                    if a >= 0 and b <= len(context):  # else no window of the context starts in this part
-                        owner.append(k)
-                        keys.append(xxhash.xxh64_intdigest(context[a:b]))
-                        which.append(part)
-            rows = pa.array(owner, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array(np.array(keys, np.uint64).view(np.int64)), *(batch.column(c).take(rows) for c in ("c1", "c2", "context", "left", "mult"))], ["part", "anchor", "c1", "c2", "context", "left", "mult"])
+                    a, b = high - 1 - start, low + WINDOW - start
+                    if a < 0 or b > len(context):  # no window of the context starts in this part
+                        continue
+                    first = max(low - start, 0)
+                    trimmed = context[first : high - 1 + WINDOW - start]
+                    wide = xxhash.xxh3_128_intdigest(trimmed, (part << 10) + start + first)
+                    rows.append((part, xxhash.xxh64_intdigest(context[a:b]), wide & (1 << 64) - 1, wide >> 64, trimmed, LEFT - start - first, mult, c1, c2))
+            if rows:
+                part, key, t1, t2, trimmed, left, mult, c1, c2 = zip(*rows, strict=True)
+                signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (key, t1, t2)]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *signed, pa.array(trimmed, pa.binary()), pa.array(left, pa.int32()), pa.array(mult, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64())], ["part", "anchor", "c1", "c2", "context", "left", "mult", "o1", "o2"])
 
     return run
 
 
+def _distinct(rows: DataFrame) -> DataFrame:
+    """Each context once, with the sum of its counts."""
+    return rows.groupBy("part", "anchor", "c1", "c2").agg(F.first("context").alias("context"), F.first("left").alias("left"), F.sum("mult").alias("mult"))
+
+
 def _sorted_marks(groups: DataFrame) -> DataFrame:
     n = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return groups.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(_sort_batches, MARKS)
+    return groups.repartition(n, "part", "anchor").sortWithinPartitions("part", "anchor").mapInArrow(_sort_batches, MARKS)
+
+
+def _group_marks(groups: DataFrame, narrow: DataFrame, parts: tuple[int, ...], most_group: int) -> DataFrame:
+    """Marks of the contexts of groups; those too large are cut into parts[0] parts, and so on."""
+    hot = materialize(narrow.groupBy("part", "anchor").count().where(F.col("count") > most_group).select("part", "anchor"), "suffix-hot")
+    if hot.isEmpty():
+        return _sorted_marks(groups)
+    cold = _sorted_marks(groups.join(hot, ["part", "anchor"], "left_anti"))
+    large = groups.join(hot, ["part", "anchor"], "left_semi").dropDuplicates(["c1", "c2"])
+    dealt = materialize(large.mapInArrow(_part_batches(parts[0]), f"{GROUPS}, o1 long, o2 long"), "suffix-parts")
+    owners = dealt.select("c1", "c2", "o1", "o2").distinct()
+    if len(parts) > 1:
+        found = _group_marks(_distinct(dealt), dealt.select("part", "anchor", "c1", "c2").distinct(), parts[1:], most_group)
+    else:
+        found = dealt.groupBy("part", "c1", "c2").agg(F.sum("mult").alias("n")).where("n > 1").select("c1", "c2", F.col("part").alias("first"), F.col("part").alias("last"))
+    back = found.join(owners, ["c1", "c2"]).select(F.col("o1").alias("c1"), F.col("o2").alias("c2"), "first", "last")
+    return cold.unionByName(back)
 
 
 def marks(contexts: DataFrame, most_group: int | None = None) -> DataFrame:
     """(c1, c2, first, last) of each context with repeated windows."""
-    most_group = most_group or MOST_GROUP
-    groups = contexts.groupBy("anchor", "c1", "c2").agg(F.first("context").alias("context"), F.first("left").alias("left"), F.sum(F.size("places").cast("long")).alias("mult"))
-    groups, narrow, here = groups.withColumn("part", F.lit(0)), contexts.select(F.lit(0).alias("part"), "anchor", "c1", "c2").distinct(), 1
-    found: list[DataFrame] = []
-    for parts in (*PARTS, 0):
-        hot = materialize(narrow.groupBy("part", "anchor").count().where(F.col("count") > most_group).select("part", "anchor"), "suffix-hot")
-        any_hot = not hot.isEmpty()
-        cold = groups.join(hot, ["part", "anchor"], "left_anti") if any_hot else groups
-        # a context comes once in each part, and must not meet itself
-        found += [_sorted_marks(cold.where(F.col("part") == k)) for k in range(here)]
-        if not any_hot:
-            break
-        large = groups.join(hot, ["part", "anchor"], "left_semi").dropDuplicates(["c1", "c2"])
-        if not parts:
-            found.append(_marks_by_window(large))
-            break
-        dealt = large.mapInArrow(_part_batches(parts), "part int, anchor long, c1 long, c2 long, context binary, left int, mult long")
-        groups, here = materialize(dealt, "suffix-parts"), parts
-        narrow = groups.select("part", "anchor", "c1", "c2")
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    return every.groupBy("c1", "c2").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    counted = contexts.select(F.lit(0).alias("part"), "anchor", "c1", "c2", "context", "left", F.size("places").cast("long").alias("mult"))
+    found = _group_marks(_distinct(counted), counted.select("part", "anchor", "c1", "c2").distinct(), PARTS, most_group or MOST_GROUP)
+    return found.groupBy("c1", "c2").agg(F.min("first").alias("first"), F.max("last").alias("last"))
 
 
 REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
