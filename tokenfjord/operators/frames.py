@@ -78,6 +78,18 @@ _SQL = {pa.int32(): "int", pa.string(): "string", pa.float64(): "double", pa.boo
 PLACES = ("para_idx", "sent_idx", "tok_idx")
 
 Rows = list[tuple]
+#: Below so many bytes a core, rows are dealt out before they are tokenized: a
+#: small file is one task otherwise, and tokenizing costs far more than a shuffle.
+SPREAD_BYTES = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Small inputs over all cores; large ones as they are read."""
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(2 * cores) if cores > 1 and size < cores * SPREAD_BYTES else df
 
 
 def per_text(df: DataFrame, text: str, keys: Sequence[str], columns: list[tuple[str, str, pa.DataType]], rows: Callable[[Any], Iterable[tuple]], chunks: bool = False) -> DataFrame:
@@ -115,7 +127,7 @@ def per_text(df: DataFrame, text: str, keys: Sequence[str], columns: list[tuple[
                     yield out()
 
     picked = [F.col(f"`{k}`") for k in dict.fromkeys([*keys, text])]
-    return df.select(*picked).mapInArrow(run, schema)
+    return spread(df.select(*picked)).mapInArrow(run, schema)
 
 
 def numbered(tokens: Iterable[Token]) -> Iterator[tuple[int, int, int, Token]]:

@@ -5,6 +5,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 @F.udtf(returnType="para_idx int, sent_idx int, tok_idx int, kind int, kind_name string, txt string, norm string, num double, unit string")
@@ -36,14 +37,14 @@ def _each(texts: pd.Series, apply: Callable[[str], str]) -> pd.Series:
     return pd.Series([None if x is None else apply(x) for x in texts])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def correct_spaces(texts: pd.Series) -> pd.Series:
     from .operators import spacing
 
     return _each(texts, spacing.correct_spaces)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def tidy(texts: pd.Series) -> pd.Series:
     """Tokenized and put together again, with normal forms of punctuation."""
     from .operators import engine, spacing
