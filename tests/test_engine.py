@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tokenfjord import __main__ as command
-from tokenfjord.operators import abbreviations, engine, frames, spacing
+from tokenfjord.operators import abbreviations, build, engine, frames, spacing
 from tokenfjord.operators.tokens import Kind, Token
 from tokenfjord.plans import fixtures
 
@@ -188,3 +188,21 @@ def test_repeated_runs_agree():
     for _ in range(200):
         text = " ".join(draw.choices(words, k=12))
         assert shown(text) == shown(text)
+
+
+def test_tokens_made_by_hand():
+    assert build.make(Kind.PUNCTUATION, "...", "…").val == (3, "…") and build.make(Kind.TELNO, "5254764", "525-4764").val == ("525-4764", "354")
+    assert build.make(Kind.TIME, "13:45", 13, 45, 0).val == (13, 45, 0) and build.make(Kind.URL, "x").val is None
+    kept = build.make(Kind.YEAR, Token(Kind.RAW, "1999", None, " 1999"), 1999)
+    assert (kept.val, kept.spans) == (1999, [1, 2, 3, 4])
+    with pytest.raises(ValueError):
+        build.make(Kind.DATE, "x", 1)
+
+
+def test_view_ahead():
+    stream = build.TokenStream(engine.tokenize("Hann kom."))
+    assert next(stream).kind == Kind.S_BEGIN and stream[0].txt == "Hann" and stream[1].txt == "kom"
+    assert stream.could_be_end_of_sentence() and not stream.could_be_end_of_sentence(1)
+    assert [t.txt for t in stream] == ["Hann", "kom", ".", ""] and stream[0] is None and stream.view(lambda t: t.txt, 0, "-") == "-"
+    with pytest.raises(IndexError):
+        stream[2]

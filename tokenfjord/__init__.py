@@ -6,7 +6,8 @@ DataFrames, ``tokenfjord.functions.text`` column expressions, and
 """
 
 from .constants import EM_DASH, EN_DASH, TP_CENTER, TP_LEFT, TP_NONE, TP_RIGHT, TP_WORD
-from .operators.abbreviations import Abbreviations, ConfigError
+from .operators.abbreviations import Abbreviations, ConfigError, Meaning
+from .operators.build import TokenStream, make
 from .operators.engine import calculate_indexes, normalized_text_from_tokens, paragraphs, parse_tokens, split_into_sentences, text_from_tokens, tokenize, tokenize_without_annotation
 from .operators.engine import shown as token_text
 from .operators.segment import mark_paragraphs
@@ -23,6 +24,6 @@ def normalized_text(token: Token) -> str:
 
 
 __all__ = [
-    "EM_DASH", "EN_DASH", "TP_CENTER", "TP_LEFT", "TP_NONE", "TP_RIGHT", "TP_WORD", "Abbreviations", "ConfigError", "Kind", "Token", "calculate_indexes", "correct_spaces", "detokenize", "generate_raw_tokens", "mark_paragraphs", "normalized_text",
+    "EM_DASH", "EN_DASH", "TP_CENTER", "TP_LEFT", "TP_NONE", "TP_RIGHT", "TP_WORD", "Abbreviations", "ConfigError", "Kind", "Meaning", "Token", "TokenStream", "calculate_indexes", "correct_spaces", "detokenize", "generate_raw_tokens", "make", "mark_paragraphs", "normalized_text",
     "normalized_text_from_tokens", "paragraphs", "parse_tokens", "split_into_sentences", "text_from_tokens", "token_text", "tokenize", "tokenize_without_annotation",
 ]

@@ -16,10 +16,20 @@ from __future__ import annotations
 
 import functools
 from itertools import combinations
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 
-Meaning = tuple[str, int, str, str, str, str]
+
+class Meaning(NamedTuple):
+    """One meaning of a form: its base form, a number, gender or kind, class, the form, and inflection."""
+
+    stofn: str
+    utg: int
+    ordfl: str
+    fl: str
+    ordmynd: str
+    beyging: str
 
 
 class ConfigError(Exception):
@@ -266,7 +276,7 @@ class Abbreviations:
             raise ConfigError(f"{name}: only abbreviations that end with a dot take {flag}")
 
         def enter(table: dict[str, list[Meaning]], form: str) -> None:
-            entry = (meaning, 0, gender, word_class or "skst", form, "-")
+            entry = Meaning(meaning, 0, gender, word_class or "skst", form, "-")
             if entry not in table.setdefault(form, []):
                 table[form].append(entry)
 

@@ -105,6 +105,20 @@ def token_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.offsets(rough).select("doc_id", F.col("tok_idx").cast("long").alias("tok_idx"), "char_start", "byte_start")
 
 
+#: Kinds that a word's shape alone decides, as patterns that Java and RE2 read alike.
+_SHAPES = [("WORD", r"\\p{L}+"), ("YEAR", "(177[6-9]|17[89][0-9]|1[89][0-9]{2}|20[0-9]{2}|2100)"), ("TELNO", "[4-8][0-9]{2}-[0-9]{4}"), ("SERIALNUMBER", "[0-9]{3}-[0-9]{4}"), ("NUMBER", "[+-]?[0-9]+(,[0-9]{3})*"), ("EMAIL", r"[\\p{L}0-9._-]+@[\\p{L}0-9-]+(\\.[\\p{L}0-9-]+)+")]
+_CASES = " ".join(f"WHEN regexp_full_match(w, '{p}') THEN '{k}'" for k, p in _SHAPES)
+
+
+@query(f"SELECT lang, kind, count(*) AS n FROM (SELECT lang, CASE {_CASES} ELSE 'MIXED' END AS kind FROM (SELECT lang, unnest({_WORDS}) AS w FROM documents)) GROUP BY lang, kind")
+def word_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lexer's fast path as one expression: kinds that need nothing but a word's shape."""
+    kind = F.lit("MIXED")
+    for name, pattern in reversed(_SHAPES):
+        kind = F.when(F.col("word").rlike(f"^(?:{pattern})$"), name).otherwise(kind)
+    return _words(spark, sf_dir).groupBy("lang", kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
 @query("SELECT doc_id, md5(replace(replace(text, 'e', 'e' || chr(173)), chr(173), '')) AS digest FROM documents")
 def zero_width_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     broken = F.replace(F.col("text"), F.lit("e"), F.lit("e­"))
