@@ -52,8 +52,8 @@ LEVEL = 3
 CACHE = 600_000
 #: Bytes of a text that are cut into pre-tokens at once.
 PART_BYTES = 1 << 20
-#: Plain text that one file takes, about.
-FILE_ROWS = 8192
+#: Input as stored that one file takes, about.
+FILE_BYTES = 128 << 20
 _SEEK_MAGIC, _SKIP_SEEK, _SKIP_DOCS = 0x8F92EAB1, 0x184D2A5E, 0x184D2A50
 _DOC = np.dtype([("doc_id", "<i8"), ("none", "u1"), ("frame", "<u4"), ("at", "<u4"), ("n", "<u8")])
 
@@ -285,7 +285,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID
     store, root = fs.FileSystem.from_uri(path)
     store.create_dir(root)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    files = max(1, -(-narrow.count() // FILE_ROWS), spark.sparkContext.defaultParallelism)
+    stored = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    files = max(spark.sparkContext.defaultParallelism, min(-(-stored // FILE_BYTES), 1 << 20))
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
     ranged = narrow.repartitionByRange(files, *order).sortWithinPartitions(*order)
     return materialize(ranged.mapInArrow(_writer(path, tokenizer, end_id), MANIFEST), "token-manifest")
