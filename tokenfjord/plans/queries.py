@@ -106,7 +106,7 @@ def token_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Kinds that a word's shape alone decides, as patterns that Java and RE2 read alike.
-_SHAPES = [("WORD", r"\\p{L}+"), ("YEAR", "(177[6-9]|17[89][0-9]|1[89][0-9]{2}|20[0-9]{2}|2100)"), ("TELNO", "[4-8][0-9]{2}-[0-9]{4}"), ("SERIALNUMBER", "[0-9]{3}-[0-9]{4}"), ("NUMBER", "[+-]?[0-9]+(,[0-9]{3})*"), ("EMAIL", r"[\\p{L}0-9._-]+@[\\p{L}0-9-]+(\\.[\\p{L}0-9-]+)+")]
+_SHAPES = [("WORD", r"\p{L}+"), ("YEAR", "(177[6-9]|17[89][0-9]|1[89][0-9]{2}|20[0-9]{2}|2100)"), ("TELNO", "[4-8][0-9]{2}-[0-9]{4}"), ("SERIALNUMBER", "[0-9]{3}-[0-9]{4}"), ("NUMBER", "[+-]?[0-9]+(,[0-9]{3})*"), ("EMAIL", r"[\p{L}0-9._-]+@[\p{L}0-9-]+(\.[\p{L}0-9-]+)+")]
 _CASES = " ".join(f"WHEN regexp_full_match(w, '{p}') THEN '{k}'" for k, p in _SHAPES)
 
 
