@@ -162,6 +162,8 @@ def test_template_is_induced_from_pages_of_a_host(spark):
         ("<p>a<b>b</p>c<script>if (a</b) '</p>'</script>d<!-- x > y -->e", "ab\ncde"),
         ("<ul><li>one<li>two</ul><table><tr><td>x<td>y</table>", "one\ntwo\nx\ny"),
         ("<article></article><p>z", "z"),
+        ("<article><header class='entry-header'><h1 class=header>T</h1></header><p>x</p></article>", "T\nx"),
+        ("<div class=site-header>no</div><h2 class='page-header'>T</h2><p>x", "T\nx"),
         ("<p>unclosed <a href='x>y'>link", "unclosed link"),
         ("<p style='display: none'>hid</p><p hidden>hid</p><p>shown</p>", "shown"),
     ],

@@ -60,6 +60,9 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _NAME = re.compile(r"[a-z]+")
 _CHROME = frozenset(CHROME_WORDS)
+#: Names that an article's own title may have.
+_TITLE_WORDS = frozenset(("header", "banner", "masthead"))
+_HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 
 @dataclass(slots=True)
@@ -77,9 +80,10 @@ def is_chrome(tag: str, attributes: str, inside: bool) -> bool:
         return True
     if not attributes or tag in ("html", "body", "article", "main"):
         return False
+    kept = _TITLE_WORDS if inside or tag in _HEADINGS else frozenset()
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values).lower()
-        if name in ("class", "id") and any(w in _CHROME for w in _NAME.findall(value)):
+        if name in ("class", "id") and any(w in _CHROME and w not in kept for w in _NAME.findall(value)):
             return True
         if name == "role" and value in CHROME_ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
             return True
