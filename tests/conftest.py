@@ -1,6 +1,7 @@
 """One local session for all tests."""
 
 import os
+import shutil
 import sys
 from pathlib import Path
 
@@ -20,6 +21,7 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+    shutil.rmtree("/tmp/checkpoints/tokenfjord", ignore_errors=True)
 
 
 @pytest.fixture(scope="session")

@@ -91,6 +91,17 @@ def raw_tokens(chunks: str | Iterable[str], compose: bool = True, html: bool = F
                 while part.endswith("]]"):
                     closing += 1
                     part = part[:-2]
+            if not _SEEN.search(part) and not (html and "&" in part):  # nothing to rewrite
+                for m in _ROUGH.finditer(part):
+                    text = m[0].lstrip()
+                    if not text:
+                        saved = Token(Kind.RAW, "", None, m[0], [])
+                    elif saved is not None:
+                        word, saved = saved.joined(Token(Kind.RAW, text, None, m[0])), None
+                        yield word
+                    else:
+                        yield Token(Kind.RAW, text, None, m[0])
+                part = ""
             for m in _ROUGH.finditer(part):
                 token = normalised(Token(Kind.RAW, m[0], None, m[0]), compose, html)
                 if not token.txt:  # nothing but removed characters

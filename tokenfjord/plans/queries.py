@@ -18,6 +18,7 @@ from .. import constants as C
 from ..functions import text as X
 from ..operators import abbreviations, frames
 from ..operators.tokens import Kind
+from ..session import shared_dir
 from ..streaming import texts as streams
 from . import fixtures
 
@@ -381,7 +382,7 @@ def chunked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT lang, CAST(sum(len(" + _WORDS + ")) AS BIGINT) AS n_words FROM documents GROUP BY lang")
 def streamed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as a stream of files through the same expressions; the sink is read back."""
-    path = f"{_shared(spark)}/stream-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     schema = table(spark, sf_dir, "documents").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/documents.parquet*")
     words = stream.select("lang", F.size(X.words(F.col("text"))).alias("n"))
@@ -390,10 +391,6 @@ def streamed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{path}/out").groupBy("lang").agg(F.sum("n").alias("n_words"))
 
 
-def _shared(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/tokenfjord"
-
-
 # --- whole documents through all phases ------------------------------------------------------
 
 

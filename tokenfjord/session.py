@@ -9,6 +9,18 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Used only where no folder is configured and Spark runs in one process, as in tests.
+LOCAL_CHECKPOINTS = "file:///tmp/checkpoints/tokenfjord"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = LOCAL_CHECKPOINTS
+    return found.rstrip("/") if ":/" in found else "file://" + found.rstrip("/")
 
 
 def ship(spark: SparkSession) -> SparkSession:
