@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import remove, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -29,9 +29,11 @@ def components(links: DataFrame) -> DataFrame:
     empty result.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    edges, before = materialize(edges, "links"), None
+    (edges, path), before = written(edges, "links"), None
     while True:
-        edges = materialize(_small_star(_large_star(edges)), "stars")
+        last = path
+        edges, path = written(_small_star(_large_star(edges)), "stars")
+        remove(links.sparkSession, last)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break

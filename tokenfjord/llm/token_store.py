@@ -49,11 +49,11 @@ END_ID = 2
 FRAME_BYTES = 1 << 18
 LEVEL = 3
 #: Pre-tokens whose ids a worker remembers.
-CACHE = 600_000
+CACHE = 400_000
 #: Bytes of a text that are cut into pre-tokens at once.
 PART_BYTES = 1 << 20
-#: Input as stored that one file takes, about.
-FILE_BYTES = 128 << 20
+#: Input as stored that one file takes, about, while that makes at most MOST_FILES; beyond, files grow.
+FILE_BYTES, MOST_FILES = 16 << 20, 1 << 20
 _SEEK_MAGIC, _SKIP_SEEK, _SKIP_DOCS = 0x8F92EAB1, 0x184D2A5E, 0x184D2A50
 _DOC = np.dtype([("doc_id", "<i8"), ("none", "u1"), ("frame", "<u4"), ("at", "<u4"), ("n", "<u8")])
 
@@ -266,7 +266,7 @@ def _writer(path: str, tokenizer: str, end_id: int) -> Callable[[Iterator[pa.Rec
         store, root = fs.FileSystem.from_uri(path)
         final = f"{root}/part-{task.partitionId():06d}.zst"
         own = f"{root}/.part-{task.partitionId():06d}-{task.taskAttemptId()}"
-        for batch in pieces(batches, most_bytes=4 << 20):
+        for batch in pieces(batches, most_bytes=1 << 20):
             writer = writer or Writer(store.open_output_stream(own, compression=None), coder.width)
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), coder.encode(texts(batch.column("text")), end_id), strict=True):
                 writer.add(doc_id, ids)
@@ -286,7 +286,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID
     store.create_dir(root)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     stored = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    files = max(spark.sparkContext.defaultParallelism, min(-(-stored // FILE_BYTES), 1 << 20))
+    files = max(spark.sparkContext.defaultParallelism, min(-(-stored // FILE_BYTES), MOST_FILES))
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
     ranged = narrow.repartitionByRange(files, *order).sortWithinPartitions(*order)
     return materialize(ranged.mapInArrow(_writer(path, tokenizer, end_id), MANIFEST), "token-manifest")
