@@ -122,3 +122,19 @@ def test_entry(spark):
     rows = __spark_entry__.entry(spark).collect()
     assert rows and {r["lang"] for r in rows} == {"en", "de", "fr", "es"}
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_small_inputs_are_spread_and_streams_are_not(spark, tiny, tmp_path):
+    assert "RoundRobinPartitioning" in frames.spread(spark.read.parquet(f"{tiny}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
+    stream = spark.readStream.schema("doc_id long, text string").json(str(tmp_path))
+    assert frames.spread(stream) is stream
+
+
+def test_coverage_names_what_exists():
+    import re
+    from pathlib import Path
+
+    here = Path(__file__).resolve().parents[1]
+    tests = "".join(p.read_text(encoding="utf-8") for p in (here / "tests").glob("*.py"))
+    for name in re.findall(r"`([a-z_]+)`", "".join(line.rsplit("|", 2)[1] for line in (here / "COVERAGE.md").read_text(encoding="utf-8").splitlines()[3:] if line.startswith("|"))):
+        assert name in plans.QUERIES or f"def {name}(" in tests, name
