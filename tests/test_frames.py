@@ -52,6 +52,13 @@ def test_chunks_in_any_order(spark):
     assert [r["sentence"] for r in frames.sentences(whole).orderBy("sent_idx").collect()] == engine.split_into_sentences(["Hann ", "kom. Svo", "", "fór"])
 
 
+def test_lexing_the_vocabulary_is_lexing_the_corpus(spark, tiny):
+    documents = spark.read.parquet(f"{tiny}/documents.parquet")
+    whole = frames.lexed(documents, fields=("kind", "txt")).where("kind < 10000").groupBy("kind", "txt").agg(F.count("*").alias("n"))
+    once = frames.lexed_vocabulary(documents).groupBy("kind", "txt").agg(F.sum("n").alias("n"))
+    assert whole.exceptAll(once).count() == 0 and once.exceptAll(whole).count() == 0 and once.count() > 1000
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.txt").write_text("Hann kom.\n\nHún fór.", encoding="utf-8")
     read = files.read_documents(spark, str(tmp_path / "a.txt"))

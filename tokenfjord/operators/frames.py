@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import text as X
 from .engine import Engine, Options, engine, shown
 from .spacing import correct_spaces, detokenize
 from .tokens import BEGINS, ENDS, Kind, Token, kind_name
@@ -180,6 +181,23 @@ def lexed(df: DataFrame, text: str = "text", keys: Sequence[str] = ("doc_id",),
     return per_text(df, text, keys, columns, rows)
 
 
+def vocabulary(df: DataFrame, text: str = "text") -> DataFrame:
+    """(word, n): the distinct words between white space, and how often they come."""
+    words = F.explode(X.words(X.normalise(F.col(f"`{text}`"))))
+    return df.select(words.alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+
+def lexed_vocabulary(df: DataFrame, text: str = "text", fields: Sequence[str] = ("kind", "txt"), **options: Any) -> DataFrame:
+    """(word, n, tok_idx, fields): the lexer's tokens of each distinct word, once.
+
+    Lexing a word depends on nothing around it, so lexer-level statistics need
+    Python for the vocabulary only; the corpus itself is cut and counted by
+    built-in expressions, with partial counts before the shuffle.
+    """
+    counted = vocabulary(df, text).withColumn("text", F.col("word"))
+    return lexed(counted, "text", ["word", "n"], fields, **options)
+
+
 def raw_tokens(df: DataFrame, text: str = "text", keys: Sequence[str] = ("doc_id",), **options: Any) -> DataFrame:
     """(keys, tok_idx, kind, txt, original): words between white space and the marks of breaks."""
     chosen = Options.of(options)
@@ -313,4 +331,4 @@ def lines(df: DataFrame, form: str = "text", text: str = "text", keys: Sequence[
     return per_text(df, text, keys, [("line_no", "int", pa.int32()), ("value", "string", pa.string())], rows)
 
 
-__all__ = ["FIELDS", "Engine", "Options", "chunked", "corrected", "lexed", "lines", "offsets", "paragraphs", "raw_tokens", "respaced", "sentences", "token_arrays", "tokens"]
+__all__ = ["FIELDS", "Engine", "Options", "chunked", "corrected", "lexed", "lexed_vocabulary", "lines", "offsets", "paragraphs", "raw_tokens", "respaced", "sentences", "token_arrays", "tokens", "vocabulary"]

@@ -401,6 +401,18 @@ def kind_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("lang", "kind_name").agg(F.count("*").alias("n"))
 
 
+@query()
+def lexed_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lexer's tokens of each kind, from the vocabulary and its counts alone."""
+    rows = frames.lexed_vocabulary(table(spark, sf_dir, "documents"), fields=("kind_name",))
+    return rows.groupBy("kind_name").agg(F.sum("n").alias("n"))
+
+
+@query(f"SELECT w AS word, count(*) AS n FROM (SELECT unnest({_WORDS}) AS w FROM documents) GROUP BY w")
+def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.vocabulary(table(spark, sf_dir, "documents"))
+
+
 @query()
 def kind_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = frames.tokens(table(spark, sf_dir, "documents"), keys=["source", "lang"], fields=("kind_name",))
