@@ -23,7 +23,7 @@ WEIGHTS = (5, 2, 1)
 #: No source is taken more often than this.
 MOST_EPOCHS = 3
 SEED = "mix-1"
-#: Mean rows of a source's share of a bucket when one source holds everything.
+#: Mean rows of a bucket; a source has as many buckets as its rows ask for.
 BUCKET_ROWS = 8192
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -69,15 +69,14 @@ def sized(docs: DataFrame) -> DataFrame:
 def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """(doc_id, row_hash, size, source_size, target, taken) of every row."""
     rows = sized(docs)
-    buckets = max(1, -(-rows.count() // BUCKET_ROWS))
+    per_source = materialize(rows.groupBy("source_key", "source").agg(F.count("*").alias("n_rows"), F.sum("size").alias("source_size")), "mix-sources")
+    buckets = F.ceil(F.col("n_rows") / F.lit(BUCKET_ROWS))
     place = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * buckets / F.lit(1 << 32))
-    rows = rows.withColumn("bucket", place)
-    sums = rows.groupBy("source_key", "source", "bucket").agg(F.sum("size").alias("bucket_size"))
-    sums = materialize(sums, "mix-buckets")
-    per_source = sums.groupBy("source_key", "source").agg(F.sum("bucket_size").alias("source_size"))
+    rows = rows.join(per_source.select("source_key", "n_rows"), "source_key").withColumn("bucket", place).drop("n_rows")
+    sums = materialize(rows.groupBy("source_key", "bucket").agg(F.sum("size").alias("bucket_size")), "mix-buckets")
     earlier = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("source_key", "bucket", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0)).alias("bucket_start"))
-    cuts = starts.join(targets(per_source, weights), "source_key")
+    cuts = starts.join(targets(per_source.drop("n_rows"), weights), "source_key")
     inside = Window.partitionBy("source_key", "bucket").orderBy("key", "size", "row_hash").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.join(cuts, ["source_key", "bucket"]).withColumn("start", F.col("bucket_start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     budget = F.floor("target")
