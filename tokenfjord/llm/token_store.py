@@ -49,7 +49,7 @@ END_ID = 2
 FRAME_BYTES = 1 << 18
 LEVEL = 3
 #: Pre-tokens whose ids a worker remembers.
-CACHE = 400_000
+CACHE = 700_000
 #: Bytes of a text that are cut into pre-tokens at once.
 PART_BYTES = 1 << 20
 #: Input as stored that one file takes, about, while that makes at most MOST_FILES; beyond, files grow.
