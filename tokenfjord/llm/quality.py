@@ -36,6 +36,8 @@ for _name, _chars in enumerate(("*#$%&@^~<>{}[]=+_\\", "0123456789", "ABCDEFGHIJ
     _KINDS[[ord(c) for c in _chars], _name] = 1
 _KINDS[128:, 7] = 1
 _EDGE = b".,;:!?\"'()"
+#: Words whose stripped forms are held at a time.
+_BLOCK = 1 << 12
 
 
 def features(text: bytes) -> np.ndarray:
@@ -50,10 +52,11 @@ def features(text: bytes) -> np.ndarray:
     out[8] = min(30.0, (len(text) - n) / n) / 10
     out[9] = len(set(words)) / n ** 0.8
     out[10] = sum(map(bytes.__eq__, words, words[1:])) / n
-    shown = words if n <= 4096 else words[:: n // 2048]
-    bare = [w.strip(_EDGE) for w in shown]
-    out[11] = sum(not (w.isalnum() or w[-1:] >= b"\x80" or not w) for w in bare) / len(shown)
-    out[12] = sum(len(w) > 1 and w.isupper() for w in bare) / len(shown)
+    for at in range(0, n, _BLOCK):
+        bare = [w.strip(_EDGE) for w in words[at : at + _BLOCK]]
+        out[11] += sum(not (w.isalnum() or w[-1:] >= b"\x80" or not w) for w in bare)
+        out[12] += sum(len(w) > 1 and w.isupper() for w in bare)
+    out[11:13] /= n
     out[13] = np.log1p(n) / 10
     out[14] = (counts[97:123].sum() + counts[128:].sum()) / len(text)
     out[15] = n < 20
