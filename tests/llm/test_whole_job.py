@@ -2,7 +2,7 @@
 
 import pytest
 
-from tokenfjord.llm import quality
+from tokenfjord.llm import quality, wrapper
 
 
 @pytest.mark.parametrize("n", [4096, 4097, 20_020])
@@ -13,3 +13,21 @@ def test_quality_counts_marks_and_capitals_over_all_words(n):
     loud = words.count("LOUD")
     got = dict(zip(quality.FEATURES, quality.features(" ".join(words).encode()), strict=True))
     assert got["capital_words"] == loud / n and got["marked"] == 1 / n
+
+
+def test_all_children_of_a_flat_page_are_aligned():
+    def page(k, n):
+        return "<body>" + "".join(f"<p>line {k} {i}</p>" for i in range(n)) + "<div>All rights kept by us</div></body>"
+
+    trees = [wrapper.skeleton(wrapper.parse(page(k, n))) for k, n in enumerate((700, 450))]
+    pairs = wrapper.align(*trees)
+    assert len(pairs) == 453 and (len(trees[0]) - 1, len(trees[1]) - 1) in pairs
+
+
+def test_the_notice_after_many_paragraphs_goes(spark):
+    def page(k):
+        return "<body>" + "".join(f"<p>line {k} {i}</p>" for i in range(205 + k)) + "<div>All rights kept by us</div></body>"
+
+    rows = spark.createDataFrame([(k, f"https://one.example/{k}", page(k)) for k in range(6)], "page_id long, url string, html string")
+    for r in wrapper.extract(rows).collect():
+        assert r["text"] == "\n".join(f"line {r['page_id']} {i}" for i in range(205 + r["page_id"]))

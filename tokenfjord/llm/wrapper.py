@@ -28,6 +28,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,8 +38,6 @@ from .common import materialize, pieces, texts
 #: Pages of a host that must have a node for it to become template, and the share of them with the same text.
 LEAST_PAGES = 4
 CONSTANT_SHARE = 0.6
-#: Children of a node that take part in an alignment; later ones stay unaligned, and so are kept.
-MOST_CHILDREN = 200
 
 RAW = {"script", "style", "textarea", "title", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -230,44 +229,73 @@ def _children(tree: Skeleton) -> list[list[int]]:
         if path:
             kids[path[-1]].append(i)
         path.append(i)
-    return [k[:MOST_CHILDREN] for k in kids]
+    return kids
+
+
+def _codes(a: Skeleton, b: Skeleton) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each (tag, text) of either tree."""
+    known: dict[tuple[str, str], int] = {}
+    return tuple(np.array([known.setdefault(x[1:], len(known)) for x in tree], np.int64) for tree in (a, b))
 
 
 def align(a: Skeleton, b: Skeleton) -> list[tuple[int, int]]:
-    """Matched nodes (place in a, place in b) by simple tree matching."""
+    """Matched nodes (place in a, place in b) by simple tree matching.
+
+    The rows of a table are computed whole; of each only two bits a cell stay:
+    whether the match is as large without the left node, or without the right.
+    """
     if not a or not b or a[0][1] != b[0][1]:
         return []
     kids_a, kids_b = _children(a), _children(b)
+    own_a, own_b = _codes(a, b)
+    tags: dict[str, int] = {}
+    tag_a, tag_b = (np.array([tags.setdefault(x[1], len(tags)) for x in tree], np.int64) for tree in (a, b))
     sizes: dict[tuple[int, int], int] = {}
-    tables: dict[tuple[int, int], list[list[int]]] = {}
-
-    def size(i: int, j: int) -> int:
-        """Nodes in the largest match of the subtrees at i and j; an equal text breaks ties."""
-        if a[i][1] != b[j][1]:
-            return 0
-        if (i, j) not in sizes:
-            left, right = kids_a[i], kids_b[j]
-            table = [[0] * (len(right) + 1)]
+    tables: dict[tuple[int, int], tuple[list[np.ndarray], list[np.ndarray]]] = {}
+    inner_b = [[(k, y) for k, y in enumerate(kids) if kids_b[y]] for kids in kids_b]
+
+    def measure(i: int, j: int) -> None:
+        """Nodes in the largest match of the subtrees at i and j, whose children's are known; an equal text breaks ties."""
+        left, right = kids_a[i], kids_b[j]
+        top, ups, lefts = 0, [], []
+        if left and right:
+            tag, own = tag_b[right], own_b[right]
+            above = np.zeros(len(right) + 1, np.int64)
             for x in left:
-                above, row = table[-1], [0]
-                for k, y in enumerate(right):
-                    row.append(max(above[k + 1], row[k], above[k] + size(x, y)))
-                table.append(row)
-            tables[i, j] = table
-            sizes[i, j] = table[-1][-1] + 1000 + (a[i][2] == b[j][2])
-        return sizes[i, j]
-
-    size(0, 0)
+                gain = 1000 * (tag == tag_a[x]) + (own == own_a[x])
+                if kids_a[x]:
+                    for k, y in inner_b[j]:
+                        gain[k] = sizes.get((x, y), 0)
+                row = above.copy()
+                np.maximum(row[1:], above[:-1] + gain, out=row[1:])
+                np.maximum.accumulate(row, out=row)
+                ups.append(np.packbits(row == above))
+                lefts.append(np.packbits(row[1:] == row[:-1]))
+                above = row
+            top = int(above[-1])
+            tables[i, j] = ups, lefts
+        sizes[i, j] = top + 1000 + int(own_a[i] == own_b[j])
+
+    stack = [(0, 0, False)]
+    while stack:
+        i, j, ready = stack.pop()
+        if ready:
+            measure(i, j)
+        elif (i, j) not in sizes:
+            stack.append((i, j, True))
+            stack += [(x, y, False) for x in kids_a[i] if kids_a[x] for _, y in inner_b[j] if a[x][1] == b[y][1]]
     pairs, work = [], [(0, 0)]
     while work:
         i, j = work.pop()
         pairs.append((i, j))
-        table, left, right = tables[i, j], kids_a[i], kids_b[j]
+        if (i, j) not in tables:
+            continue
+        (ups, lefts), left, right = tables[i, j], kids_a[i], kids_b[j]
         x, y = len(left), len(right)
         while x and y:
-            if table[x][y] == table[x - 1][y]:
+            if ups[x - 1][y >> 3] >> (7 - (y & 7)) & 1:
                 x -= 1
-            elif table[x][y] == table[x][y - 1]:
+            elif lefts[x - 1][(y - 1) >> 3] >> (7 - ((y - 1) & 7)) & 1:
                 y -= 1
             else:
                 x, y = x - 1, y - 1
