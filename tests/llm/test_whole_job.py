@@ -31,3 +31,21 @@ def test_the_notice_after_many_paragraphs_goes(spark):
     rows = spark.createDataFrame([(k, f"https://one.example/{k}", page(k)) for k in range(6)], "page_id long, url string, html string")
     for r in wrapper.extract(rows).collect():
         assert r["text"] == "\n".join(f"line {r['page_id']} {i}" for i in range(205 + r["page_id"]))
+
+
+def test_the_template_decides_inside_and_outside_a_marked_article(spark):
+    def page(k):
+        return f"<body><div>Old Harbour Gazette</div><div>Teaser {k}</div><article><h1>Story {k}</h1><div class=x>Read more in our app</div><p>It ends with {k * 7}.</p></article></body>"
+
+    rows = [(k, f"https://one.example/{k}", page(k)) for k in range(6)] + [(100, "https://two.example/", page(100))]
+    got = {r["page_id"]: r["text"] for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(6):
+        assert got[k] == f"Teaser {k}\nStory {k}\nIt ends with {k * 7}."
+    assert got[100] == "Story 100\nRead more in our app\nIt ends with 700."
+
+
+def test_deep_pages_have_a_text():
+    page = "<article>" + "<div>" * 3000 + "deep"
+    root = wrapper.parse(page)
+    tree = wrapper.skeleton(root)
+    assert len(wrapper.align(tree, tree)) == 3002 and wrapper.main_text(root) == "deep"

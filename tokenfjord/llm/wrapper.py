@@ -10,8 +10,10 @@ it the template goes and the varying slots stay.
 
 What a tag or a class names as chrome (navigation, footers, adverts, forms,
 comments, scripts and so on) goes on every page, also on hosts with a single
-page. Where a page marks its article or main part, that part is the content,
-and the template decides about the rest of the page only.
+page. Where a page marks its article or main part, the template's
+constant nodes go from that part, too; outside of it a block stays only if the
+template has it as a varying slot, so where a host has no template the mark
+alone decides.
 
 All pages of a host vote; the votes are added up by (host, node), so a host with
 a third of all pages is no heavier for any one task.
@@ -25,11 +27,12 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -141,14 +144,22 @@ def _text(parts: list[str]) -> str:
     return " ".join(entities.unescape("".join(parts)).split())
 
 
-def blocks(node: Node) -> list[str]:
-    """The texts of the blocks below a node, chrome left out."""
-    out: list[str] = []
+def _short(text: str) -> str:
+    return text if len(text) <= 32 else xxhash.xxh3_128_hexdigest(text.encode("utf-8", "surrogatepass"))
+
+
+def blocks(node: Node, marked: Collection[int] = ()) -> list[tuple[str, bool, int]]:
+    """The texts of the blocks below a node, chrome left out; whether each is in a marked part; its place in the skeleton.
+
+    ``marked`` has the marked nodes' identities.
+    """
+    out: list[tuple[str, bool, int]] = []
     held: list[str] = []
+    inside, path, n = int(id(node) in marked), [0], 1
 
     def flush() -> None:
         if held and (text := _text(held)):
-            out.append(text)
+            out.append((text, inside > 0, path[-1]))
         held.clear()
 
     work: list = list(reversed(node.parts))
@@ -156,14 +167,20 @@ def blocks(node: Node) -> list[str]:
         x = work.pop()
         if isinstance(x, str):
             held.append(x)
-        elif x is None:
+        elif isinstance(x, int):
             flush()
+            inside -= x
+            path.pop()
         elif x.chrome:
             if x.tag in BLOCK:
                 flush()
         elif x.tag in BLOCK:
             flush()
-            work.append(None)
+            here = int(id(x) in marked)
+            inside += here
+            path.append(n)
+            n += 1
+            work.append(here)
             work.extend(reversed(x.parts))
         elif x.tag == "br":
             held.append(" ")
@@ -188,37 +205,31 @@ def content_nodes(root: Node) -> list[Node]:
 
 
 # A skeleton is a page's block tree in page order: [depth, tag, text] of each node
-# outside chrome and outside the marked content, the text being the node's own.
+# outside chrome, the text being the node's own, or its digest where that is shorter.
 Skeleton = list[tuple[int, str, str]]
+#: A reference tree, the nodes that enough pages voted on, and the constant ones of these.
+Template = tuple[Skeleton, frozenset[int], frozenset[int]]
 
 
 def skeleton(root: Node) -> Skeleton:
-    """The block nodes that the template may decide on."""
-    out: Skeleton = []
-
-    def visit(node: Node, depth: int) -> None:
-        place = len(out)
-        out.append((depth, node.tag, ""))
-        own: list[str] = []
-        work = list(reversed(node.parts))
-        while work:
-            x = work.pop()
-            if isinstance(x, str):
-                own.append(x)
-            elif x.chrome:
-                continue
-            elif x.tag in CONTENT_TAGS:
-                out.append((depth + 1, x.tag, ""))
-            elif x.tag in BLOCK:
-                visit(x, depth + 1)
-            elif x.tag == "br":
-                own.append(" ")
-            else:
-                work.extend(reversed(x.parts))
-        out[place] = (depth, node.tag, _text(own))
-
-    visit(root, 0)
-    return out
+    """The block nodes of a page, those of its marked parts too."""
+    tree: list[tuple[int, str, list[str]]] = []
+    work: list[tuple[int, Node | str, list[str]]] = [(0, root, [])]
+    while work:
+        depth, x, own = work.pop()
+        if isinstance(x, str):
+            own.append(x)
+        elif x.chrome:
+            continue
+        elif x is root or x.tag in BLOCK:
+            own = []
+            tree.append((depth, x.tag, own))
+            work += [(depth + 1, p, own) for p in reversed(x.parts)]
+        elif x.tag == "br":
+            own.append(" ")
+        else:
+            work += [(depth, p, own) for p in reversed(x.parts)]
+    return [(depth, tag, _short(_text(own))) for depth, tag, own in tree]
 
 
 def _children(tree: Skeleton) -> list[list[int]]:
@@ -303,22 +314,23 @@ def align(a: Skeleton, b: Skeleton) -> list[tuple[int, int]]:
     return pairs
 
 
-def main_text(root: Node, template: tuple[Skeleton, frozenset[int]] | None = None) -> str:
-    """The page's text: its marked content, or else its blocks without the template's nodes."""
-    marked = content_nodes(root)
-    if marked:
-        return "\n".join(x for node in marked for x in blocks(node))
-    own = skeleton(root)
-    constant: set[int] = set()
+def main_text(root: Node, template: Template | None = None) -> str:
+    """The page's text: its blocks without the template's constant nodes.
+
+    Where the page marks content, a block outside of it stays only if the
+    template has it as a varying slot.
+    """
+    marked = {id(x) for x in content_nodes(root)}
+    gone, slots = set(), set()
     if template:
-        constant = {j for i, j in align(template[0], own) if i in template[1] and template[0][i][2] == own[j][2]}
-    gone = {own[j][2] for j in constant if own[j][2]}
-    out = []
-    for text in blocks(root):
-        if text in gone:
-            continue
-        out.append(text)
-    return "\n".join(out)
+        own = skeleton(root)
+        reference, decided, constant = template
+        for i, j in align(reference, own):
+            if i in constant and reference[i][2] == own[j][2]:
+                gone.add(j)
+            elif i in decided:
+                slots.add(j)
+    return "\n".join(text for text, inside, place in blocks(root, marked) if place not in gone and (inside or not marked or place in slots))
 
 
 NODES = "array<struct<depth:int,tag:string,text:string>>"
@@ -345,12 +357,12 @@ def _skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(pieces(batches, "nodes"), "reference"):
         hosts, places, same = [], [], []
         for row in batch.to_pylist():
             reference, own = _unpack(row["reference"]), _unpack(row["nodes"])
             for i, j in align(reference, own):
-                if reference[i][2]:
+                if reference[i][2] or own[j][2]:
                     hosts.append(row["host"])
                     places.append(i)
                     same.append(int(reference[i][2] == own[j][2]))
@@ -358,7 +370,7 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, reference, constant): each host's reference tree and its constant nodes.
+    """(host, reference, decided, constant): each host's reference tree, the nodes with enough votes and the constant ones.
 
     The reference is the page with the smallest digest. One row per host.
     """
@@ -369,21 +381,22 @@ def templates(pages: DataFrame) -> DataFrame:
     chosen = materialize(chosen, "wrapper-references")
     votes = trees.join(chosen, "host").select("host", "reference", "nodes").mapInArrow(_votes, "host string, place int, same long")
     counted = votes.groupBy("host", "place").agg(F.count("*").alias("n"), F.sum("same").alias("same"))
-    constant = counted.where((F.col("n") >= LEAST_PAGES) & (F.col("same") >= CONSTANT_SHARE * F.col("n"))).groupBy("host").agg(F.sort_array(F.collect_list("place")).alias("constant"))
-    return materialize(chosen.join(constant, "host"), "wrapper-templates")
+    fixed = F.when(F.col("same") >= CONSTANT_SHARE * F.col("n"), F.col("place"))
+    places = counted.where(F.col("n") >= LEAST_PAGES).groupBy("host").agg(F.sort_array(F.collect_list("place")).alias("decided"), F.sort_array(F.collect_list(fixed)).alias("constant"))
+    return materialize(chosen.join(places, "host"), "wrapper-templates")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches, "html"):
+    for batch in pieces(pieces(batches, "html"), "reference"):
         out = []
-        wrappers = zip(batch.column("reference").to_pylist(), batch.column("constant").to_pylist(), strict=True)
-        for page, (reference, constant) in zip(texts(batch.column("html")), wrappers, strict=True):
-            out.append(main_text(parse(page.decode()), (_unpack(reference), frozenset(constant)) if reference else None))
+        wrappers = zip(*[batch.column(c).to_pylist() for c in ("reference", "decided", "constant")], strict=True)
+        for page, (reference, decided, constant) in zip(texts(batch.column("html")), wrappers, strict=True):
+            out.append(main_text(parse(page.decode()), (_unpack(reference), frozenset(decided), frozenset(constant)) if reference else None))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host(F.col("url")).alias("host"))
-    joined = rows.join(templates(pages), "host", "left").select("page_id", "url", "html", "reference", "constant")
+    joined = rows.join(templates(pages), "host", "left").select("page_id", "url", "html", "reference", "decided", "constant")
     return joined.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
