@@ -2,7 +2,7 @@
 
 import pytest
 
-from tokenfjord.llm import quality, wrapper
+from tokenfjord.llm import decontam, quality, wrapper
 
 
 @pytest.mark.parametrize("n", [4096, 4097, 20_020])
@@ -49,3 +49,27 @@ def test_deep_pages_have_a_text():
     root = wrapper.parse(page)
     tree = wrapper.skeleton(root)
     assert len(wrapper.align(tree, tree)) == 3002 and wrapper.main_text(root) == "deep"
+
+
+def test_decontamination_does_not_depend_on_the_number_of_automata(spark):
+    item = [" ".join(f"{name}{i}" for i in range(10)) for name in "abc"]
+    filler = " ".join(f"w{i}" for i in range(16))
+    bench = spark.createDataFrame(list(enumerate(item)), "item_id long, text string")
+    half = " ".join(item[0].split()[:8])
+    other = " ".join(item[1].split()[:8])
+    rows = [
+        (1, f"{filler} {item[0]} {item[1]}"),
+        (2, f"{filler} {item[2]} end"),
+        (3, f"{half} {' '.join(filler.split()[:10])} {other}"),
+        (4, filler),
+        (None, f"{filler} {filler} {item[1]}"),
+        (0, None),
+        (4, filler),
+        (5, f"b0 b1 b2 b3 {item[0]} b4 b5 b6 b7 {filler}"),
+    ]
+    docs = spark.createDataFrame([(d, t, len(t or "")) for d, t in rows], "doc_id long, text string, n_chars long")
+    one, many = (sorted(map(tuple, decontam.decontaminate(docs, bench, most_words=n).collect()), key=str) for n in (1000, 10))
+    assert many == one and len(one) == 6
+    assert (5, f"b0 b1 b2 b3  b4 b5 b6 b7 {filler}") in {r[:2] for r in one}
+    few, more = (sorted(r[0] for r in decontam.decontaminate(docs.where("doc_id = 3"), bench, most_items=9, most_words=n).collect()) for n in (1000, 10))
+    assert few == more == []

@@ -203,8 +203,12 @@ def _scanner(shared: Any) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_words: int = AUTOMATON_WORDS) -> DataFrame:
     """(doc_id, row_hash, n_words, runs, items) of every row; runs are disjoint word ranges."""
+    return _scan(docs, [docs.sparkSession.sparkContext.broadcast(a) for a in automata(benchmark, window, most_words)])
+
+
+def _scan(docs: DataFrame, shared: list[Any]) -> DataFrame:
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash(docs).alias("row_hash"), F.col("text").cast("string").alias("text"))
-    passes = [narrow.mapInArrow(_scanner(docs.sparkSession.sparkContext.broadcast(a)), SCAN) for a in automata(benchmark, window, most_words)]
+    passes = [narrow.mapInArrow(_scanner(one), SCAN) for one in shared]
     if len(passes) == 1:
         return passes[0]
     every = passes[0]
@@ -246,38 +250,62 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
 
     A span is removed where a window or longer matches. A document that names
     ``most_items`` items, or more than ``coverage`` of whose words are hit, is
-    dropped. Clean documents pass unchanged; n_chars is counted anew.
+    dropped. Clean documents pass unchanged; n_chars is counted anew. All
+    automata's matches in the text as given are added up first.
     """
-    out = docs
-    for automaton in automata(benchmark, window, most_words):
-        out = out.mapInArrow(_cleaner(docs.sparkSession.sparkContext.broadcast(automaton), coverage, most_items), docs.schema)
-    return out
+    shared = [docs.sparkSession.sparkContext.broadcast(a) for a in automata(benchmark, window, most_words)]
+    if len(shared) == 1:
+        return docs.mapInArrow(_cleaner(shared[0], coverage, most_items), docs.schema)
+    found = _scan(docs, shared).where(F.size("items") > 0).dropDuplicates(["doc_id", "row_hash"])
+    found = found.select(F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("row_hash").alias("__hash"), F.col("runs").alias("__runs"), F.size("items").alias("__items"))
+    keyed = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("__id"), row_hash(docs).alias("__hash"))  # the hash tells a null from a zero
+    joined = keyed.join(found, ["__id", "__hash"], "left").select(*[F.col(f"`{c}`") for c in docs.columns], "__runs", "__items")
+    return joined.mapInArrow(_cutter(len(docs.columns), coverage, most_items), docs.schema)
 
 
 def _cleaner(shared: Any, coverage: float, most_items: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = shared.value
         for batch in pieces(batches):
-            keep, changed = [], {}
-            for i, text in enumerate(texts(batch.column("text"))):
-                words = words_of(text)
-                hit, found = automaton.hits(words)
-                share = int((hit[:, 1] - hit[:, 0]).sum()) / max(1, len(words))
-                keep.append(len(found) < most_items and share <= coverage)
-                if len(hit) and keep[-1]:
-                    changed[i] = without(text.decode(), hit)
-            if changed:
-                for name in ("text", "n_chars"):
-                    if name in batch.schema.names:
-                        at = batch.schema.get_field_index(name)
-                        values = batch.column(at).to_pylist()
-                        for i, text in changed.items():
-                            values[i] = text if name == "text" else len(text)
-                        batch = batch.set_column(at, batch.schema.field(at), pa.array(values, batch.schema.field(at).type))
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            hits = []
+            for text in texts(batch.column("text")):
+                hit, found = automaton.hits(words_of(text))
+                hits.append((hit, len(found)))
+            yield _cut(batch, hits, coverage, most_items)
+
+    return clean
+
+
+def _cutter(width: int, coverage: float, most_items: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """As _cleaner, with the matches in two columns after the first ``width``."""
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            runs, items = (batch.column(width + k).to_pylist() for k in (0, 1))
+            hits = [(np.array([(x["a"], x["b"]) for x in r or ()], np.int64).reshape(-1, 2), n or 0) for r, n in zip(runs, items, strict=True)]
+            yield _cut(batch.select(batch.schema.names[:width]), hits, coverage, most_items)
 
     return clean
 
 
+def _cut(batch: pa.RecordBatch, hits: list[tuple[np.ndarray, int]], coverage: float, most_items: int) -> pa.RecordBatch:
+    """The rows that stay, without their hit words; hits has each row's runs and its number of items."""
+    keep, changed = [], {}
+    for i, (text, (hit, n_items)) in enumerate(zip(texts(batch.column("text")), hits, strict=True)):
+        share = int((hit[:, 1] - hit[:, 0]).sum()) / max(1, len(words_of(text))) if len(hit) else 0
+        keep.append(n_items < most_items and share <= coverage)
+        if len(hit) and keep[-1]:
+            changed[i] = without(text.decode(), hit)
+    if changed:
+        for name in ("text", "n_chars"):
+            if name in batch.schema.names:
+                at = batch.schema.get_field_index(name)
+                values = batch.column(at).to_pylist()
+                for i, text in changed.items():
+                    values[i] = text if name == "text" else len(text)
+                batch = batch.set_column(at, batch.schema.field(at), pa.array(values, batch.schema.field(at).type))
+    return batch.filter(pa.array(keep, pa.bool_()))
+
+
 def digest(items: set[str]) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
