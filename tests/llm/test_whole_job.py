@@ -73,3 +73,16 @@ def test_decontamination_does_not_depend_on_the_number_of_automata(spark):
     assert (5, f"b0 b1 b2 b3  b4 b5 b6 b7 {filler}") in {r[:2] for r in one}
     few, more = (sorted(r[0] for r in decontam.decontaminate(docs.where("doc_id = 3"), bench, most_items=9, most_words=n).collect()) for n in (1000, 10))
     assert few == more == []
+
+
+def test_each_layout_of_a_host_has_its_template(spark):
+    def one(k):
+        return f"<body><p>Story {k}</p><div>Printed in the harbour</div></body>"
+
+    def two(k):
+        return f"<body><section><h2>Picture {k}</h2><ul><li>Seen by many {k}</li><li>Ask us for prints</li></ul></section></body>"
+
+    rows = [(k, (one, two)[k % 2](k)) for k in range(12)] + [(50, ""), (51, "<body><p>Not found")]
+    got = {r["page_id"]: r["text"] for r in wrapper.extract(spark.createDataFrame([(k, f"https://one.example/{k}", x) for k, x in rows], "page_id long, url string, html string")).collect()}
+    assert [got[k] for k in range(12)] == [(f"Story {k}", f"Picture {k}\nSeen by many {k}")[k % 2] for k in range(12)]
+    assert got[50] == "" and got[51] == "Not found"

@@ -1,7 +1,7 @@
 """Main text of web pages by wrapper induction.
 
 Each page becomes a small tree of its blocks. The pages of a host are aligned
-with one of them, the host's reference, by simple tree matching: the largest
+with some of them, the host's references, by simple tree matching: the largest
 order-preserving match of equal tags, found by dynamic programming over the
 children of each pair of matched nodes. Every aligned page votes on each
 reference node: the same text (constant) or another (varying). Nodes that are
@@ -15,6 +15,10 @@ constant nodes go from that part, too; outside of it a block stays only if the
 template has it as a varying slot, so where a host has no template the mark
 alone decides.
 
+The references hold every place (the path of tags, with a number among equal
+siblings) that enough pages of the host have: for each the page with the
+smallest digest, among those with the place's text if most have the same.
+
 All pages of a host vote; the votes are added up by (host, node), so a host with
 a third of all pages is no heavier for any one task.
 
@@ -27,6 +31,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Collection, Iterator
 from dataclasses import dataclass, field
 
@@ -314,17 +319,16 @@ def align(a: Skeleton, b: Skeleton) -> list[tuple[int, int]]:
     return pairs
 
 
-def main_text(root: Node, template: Template | None = None) -> str:
-    """The page's text: its blocks without the template's constant nodes.
+def main_text(root: Node, templates: Collection[Template] = ()) -> str:
+    """The page's text: its blocks without the templates' constant nodes.
 
     Where the page marks content, a block outside of it stays only if the
-    template has it as a varying slot.
+    templates have it as a varying slot.
     """
     marked = {id(x) for x in content_nodes(root)}
     gone, slots = set(), set()
-    if template:
-        own = skeleton(root)
-        reference, decided, constant = template
+    own = skeleton(root) if templates else []
+    for reference, decided, constant in templates:
         for i, j in align(reference, own):
             if i in constant and reference[i][2] == own[j][2]:
                 gone.add(j)
@@ -356,47 +360,83 @@ def _skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("digest"), pa.array([_pack(t) for t in trees], _NODE)], ["host", "digest", "nodes"])
 
 
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, place, text, digest) of every node: its place's and its text's hash, its page's digest."""
+
+    def digest(x: str) -> int:
+        return xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+    for batch in pieces(batches, "nodes"):
+        rows: list[tuple[str, int, int, int]] = []
+        for row in batch.to_pylist():
+            path: list[int] = []
+            seen: Counter = Counter()
+            for depth, tag, text in _unpack(row["nodes"]):
+                del path[depth:]
+                key = (path[-1] if path else 0, tag)
+                path.append(digest(f"{key[0]} {tag} {seen[key]}"))
+                seen[key] += 1
+                rows.append((row["host"], path[-1], digest(text), row["digest"]))
+        columns = zip(*rows, strict=True) if rows else [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string(), *[pa.int64()] * 3], strict=True)], ["host", "place", "text", "digest"])
+
+
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(pieces(batches, "nodes"), "reference"):
-        hosts, places, same = [], [], []
+    for batch in pieces(pieces(batches, "nodes"), "references"):
+        votes: dict[tuple[str, int, int], list[int]] = {}
         for row in batch.to_pylist():
-            reference, own = _unpack(row["reference"]), _unpack(row["nodes"])
-            for i, j in align(reference, own):
-                if reference[i][2] or own[j][2]:
-                    hosts.append(row["host"])
-                    places.append(i)
-                    same.append(int(reference[i][2] == own[j][2]))
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(places, pa.int32()), pa.array(same, pa.int64())], ["host", "place", "same"])
+            own = _unpack(row["nodes"])
+            for page in row["references"]:
+                reference = _unpack(page["nodes"])
+                for i, j in align(reference, own):
+                    if reference[i][2] or own[j][2]:
+                        vote = votes.setdefault((row["host"], page["digest"], i), [0, 0])
+                        vote[0] += 1
+                        vote[1] += reference[i][2] == own[j][2]
+        columns = list(zip(*[(*k, *v) for k, v in votes.items()], strict=True)) or [[]] * 5
+        kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["host", "digest", "place", "n", "same"])
+
+
+def references(trees: DataFrame) -> DataFrame:
+    """(host, digest) of each host's reference pages."""
+    seen = trees.mapInArrow(_places, "host string, place long, text long, digest long")
+    per_text = seen.groupBy("host", "place", "text").agg(F.count("*").alias("n"), F.min("digest").alias("digest"))
+    most = F.min(F.struct((-F.col("n")).alias("n"), "digest")).alias("most")
+    per_place = per_text.groupBy("host", "place").agg(F.sum("n").alias("n"), F.min("digest").alias("least"), most).where(F.col("n") >= LEAST_PAGES)
+    chosen = F.when(-F.col("most.n") >= CONSTANT_SHARE * F.col("n"), F.col("most.digest")).otherwise(F.col("least"))
+    return per_place.select("host", chosen.alias("digest")).distinct()
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, reference, decided, constant): each host's reference tree, the nodes with enough votes and the constant ones.
+    """(host, templates): the trees of each host's references, their nodes with enough votes and the constant ones.
 
-    The reference is the page with the smallest digest. One row per host.
+    One row per host.
     """
     narrow = pages.select(host(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).where("html is not null")
     narrow = narrow.withColumn("digest", F.xxhash64("html"))
     trees = materialize(narrow.mapInArrow(_skeletons, f"host string, digest long, nodes {NODES}").dropDuplicates(["host", "digest"]), "wrapper-trees")
-    chosen = trees.groupBy("host").agg(F.min_by("nodes", "digest").alias("reference"), F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES).drop("n")
-    chosen = materialize(chosen, "wrapper-references")
-    votes = trees.join(chosen, "host").select("host", "reference", "nodes").mapInArrow(_votes, "host string, place int, same long")
-    counted = votes.groupBy("host", "place").agg(F.count("*").alias("n"), F.sum("same").alias("same"))
+    chosen = materialize(trees.join(references(trees), ["host", "digest"], "left_semi"), "wrapper-references")
+    grouped = chosen.groupBy("host").agg(F.collect_list(F.struct("digest", "nodes")).alias("references"))
+    votes = trees.select("host", "nodes").join(grouped, "host").mapInArrow(_votes, "host string, digest long, place int, n long, same long")
+    counted = votes.groupBy("host", "digest", "place").agg(F.sum("n").alias("n"), F.sum("same").alias("same"))
     fixed = F.when(F.col("same") >= CONSTANT_SHARE * F.col("n"), F.col("place"))
-    places = counted.where(F.col("n") >= LEAST_PAGES).groupBy("host").agg(F.sort_array(F.collect_list("place")).alias("decided"), F.sort_array(F.collect_list(fixed)).alias("constant"))
-    return materialize(chosen.join(places, "host"), "wrapper-templates")
+    places = counted.where(F.col("n") >= LEAST_PAGES).groupBy("host", "digest").agg(F.sort_array(F.collect_list("place")).alias("decided"), F.sort_array(F.collect_list(fixed)).alias("constant"))
+    made = chosen.join(places, ["host", "digest"]).groupBy("host").agg(F.collect_list(F.struct("nodes", "decided", "constant")).alias("templates"))
+    return materialize(made, "wrapper-templates")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(pieces(batches, "html"), "reference"):
+    for batch in pieces(pieces(batches, "html"), "templates"):
         out = []
-        wrappers = zip(*[batch.column(c).to_pylist() for c in ("reference", "decided", "constant")], strict=True)
-        for page, (reference, decided, constant) in zip(texts(batch.column("html")), wrappers, strict=True):
-            out.append(main_text(parse(page.decode()), (_unpack(reference), frozenset(decided), frozenset(constant)) if reference else None))
+        for page, found in zip(texts(batch.column("html")), batch.column("templates").to_pylist(), strict=True):
+            known = [(_unpack(x["nodes"]), frozenset(x["decided"]), frozenset(x["constant"])) for x in found or ()]
+            out.append(main_text(parse(page.decode()), known))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host(F.col("url")).alias("host"))
-    joined = rows.join(templates(pages), "host", "left").select("page_id", "url", "html", "reference", "decided", "constant")
+    joined = rows.join(templates(pages), "host", "left").select("page_id", "url", "html", "templates")
     return joined.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
