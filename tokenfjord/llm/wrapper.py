@@ -384,13 +384,15 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(pieces(batches, "nodes"), "references"):
         votes: dict[tuple[str, int, int], list[int]] = {}
-        for row in batch.to_pylist():
+        known: dict[str, list[tuple[int, Skeleton]]] = {}
+        for k, row in enumerate(batch.select(["host", "nodes"]).to_pylist()):
             own = _unpack(row["nodes"])
-            for page in row["references"]:
-                reference = _unpack(page["nodes"])
+            if row["host"] not in known:
+                known[row["host"]] = [(x["digest"], _unpack(x["nodes"])) for x in batch.column("references")[k].as_py()]
+            for digest, reference in known[row["host"]]:
                 for i, j in align(reference, own):
                     if reference[i][2] or own[j][2]:
-                        vote = votes.setdefault((row["host"], page["digest"], i), [0, 0])
+                        vote = votes.setdefault((row["host"], digest, i), [0, 0])
                         vote[0] += 1
                         vote[1] += reference[i][2] == own[j][2]
         columns = list(zip(*[(*k, *v) for k, v in votes.items()], strict=True)) or [[]] * 5
@@ -429,14 +431,16 @@ def templates(pages: DataFrame) -> DataFrame:
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(pieces(batches, "html"), "templates"):
         out = []
-        for page, found in zip(texts(batch.column("html")), batch.column("templates").to_pylist(), strict=True):
-            known = [(_unpack(x["nodes"]), frozenset(x["decided"]), frozenset(x["constant"])) for x in found or ()]
-            out.append(main_text(parse(page.decode()), known))
+        known: dict[str, list[Template]] = {}
+        for k, (page, name) in enumerate(zip(texts(batch.column("html")), batch.column("host").to_pylist(), strict=True)):
+            if name not in known:
+                known[name] = [(_unpack(x["nodes"]), frozenset(x["decided"]), frozenset(x["constant"])) for x in batch.column("templates")[k].as_py() or ()]
+            out.append(main_text(parse(page.decode()), known[name]))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host(F.col("url")).alias("host"))
-    joined = rows.join(templates(pages), "host", "left").select("page_id", "url", "html", "templates")
+    joined = rows.join(templates(pages), "host", "left").select("page_id", "url", "host", "html", "templates")
     return joined.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
