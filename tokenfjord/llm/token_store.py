@@ -27,16 +27,14 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import struct
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import chain
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 import zstandard
 from pyarrow import fs
@@ -48,111 +46,292 @@ from .common import materialize, pieces, scratch, texts
 END_ID = 2
 FRAME_BYTES = 1 << 18
 LEVEL = 3
-#: Pre-tokens whose ids a worker remembers.
-CACHE = 700_000
-#: Bytes of a text that are cut into pre-tokens at once.
-PART_BYTES = 1 << 20
+#: Pre-tokens whose ids a worker remembers; with their keys and ids they take at most about 150 MB.
+CACHE = 1_000_000
+#: Characters of a pre-token that is remembered: three words of six, ten bits each.
+KEY_CHARS, KEY_BITS, KEY_WORD = 18, 10, 6
+#: Characters cut into pre-tokens at once, about.
+PART_CHARS = 1 << 19
 #: Input as stored that one file takes, about, while that makes at most MOST_FILES; beyond, files grow.
 FILE_BYTES, MOST_FILES = 16 << 20, 1 << 20
 _SEEK_MAGIC, _SKIP_SEEK, _SKIP_DOCS = 0x8F92EAB1, 0x184D2A5E, 0x184D2A50
 _DOC = np.dtype([("doc_id", "<i8"), ("none", "u1"), ("frame", "<u4"), ("at", "<u4"), ("n", "<u8")])
 
-
-#: The pattern of word_bpe files, and what equals it for the lower case of characters below U+0240 and runs twice as fast.
+#: The normaliser and the pattern of word_bpe files, which the cutting below follows.
 _WORD_BPE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_LATIN, _NUMBERS = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u02af\u2c65\u2c66", "0-9\xb2\xb3\xb9\xbc-\xbe"
-_PLAIN_WORD_BPE = re.compile(rf"[{_LATIN}]+|'(?:[stmd]|re|ve|ll)|[{_NUMBERS}]|[^\t-\r \x85\xa0{_LATIN}{_NUMBERS}]+")
-#: UTF-8 bytes of characters beyond U+023F.
-_FAR = bytes(range(0xC9, 0x100))
+_WORD_BPE_NORMAL = ["NFC", "Replace", "Lowercase"]
+#: Characters from this one on, and three below that have no lower case of one character below it, go to the library.
+_NEAR = 0x240
+_SPACE, _LETTER, _NUMBER, _OTHER, _FAR = range(5)
+
+
+def _character_tables() -> tuple[np.ndarray, np.ndarray]:
+    """Lower case and class of the characters below _NEAR; the last entry stands for all others."""
+    lower, kind = np.arange(_NEAR + 1, dtype=np.uint32), np.full(_NEAR + 1, _OTHER, np.uint8)
+    for code in range(_NEAR):
+        small, group = chr(code).lower(), unicodedata.category(chr(code))[0]
+        kind[code] = _SPACE if code in _WHITE or code in (0x85, 0xA0) else _LETTER if group == "L" else _NUMBER if group == "N" else _OTHER
+        if len(small) == 1 and ord(small) < _NEAR:
+            lower[code] = ord(small)
+        else:
+            kind[code] = _FAR
+    kind[_NEAR] = _FAR
+    return lower, kind
+
+
+_WHITE = (9, 10, 11, 12, 13, 32)
+_LOWER, _KIND = _character_tables()
+
+
+class Memory:
+    """A hash table of packed pre-tokens, by linear probing over whole arrays.
+
+    A row holds the three words of a key and its number plus one; equality is of
+    whole keys, so no two pre-tokens are ever confused.
+    """
+
+    def __init__(self, limit: int) -> None:
+        self.bits = max(4, (2 * limit - 1).bit_length())
+        self.rows = np.zeros((1 << self.bits, 4), np.uint64)
+        self.n = 0
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        mixed = keys[:, 0] * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= keys[:, 1] * np.uint64(0xC2B2AE3D27D4EB4F)
+        mixed ^= mixed >> np.uint64(29)
+        mixed ^= keys[:, 2] * np.uint64(0x165667B19E3779F9)
+        mixed *= np.uint64(0xBF58476D1CE4E5B9)
+        return (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key; -1 for the unknown."""
+        out = np.full(len(keys), -1, np.int64)
+        left, slots = np.arange(len(keys)), self._slots(keys)
+        while len(left):
+            rows = self.rows[slots]
+            want = keys if len(left) == len(keys) else keys[left]
+            same = (rows[:, 0] == want[:, 0]) & (rows[:, 1] == want[:, 1]) & (rows[:, 2] == want[:, 2]) & (rows[:, 3] > 0)
+            out[left[same]] = rows[same, 3].astype(np.int64) - 1
+            on = ~same & (rows[:, 3] > 0)
+            left, slots = left[on], (slots[on] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def add(self, keys: np.ndarray) -> None:
+        """Number new, distinct keys in their order."""
+        numbers = np.arange(self.n + 1, self.n + 1 + len(keys), dtype=np.uint64)
+        self.n += len(keys)
+        left, slots = np.arange(len(keys)), self._slots(keys)
+        while len(left):
+            free = self.rows[slots, 3] == 0
+            _, first = np.unique(slots[free], return_index=True)
+            mine = np.flatnonzero(free)[first]
+            self.rows[slots[mine], :3] = keys[left[mine]]
+            self.rows[slots[mine], 3] = numbers[left[mine]]
+            on = np.ones(len(left), bool)
+            on[mine] = False
+            left, slots = left[on], (slots[on] + 1) & ((1 << self.bits) - 1)
 
 
 class Encoder:
-    """Ids of whole texts, where each pre-token is encoded once.
-
-    Texts of plain Latin letters are lower-cased and cut into pre-tokens here,
-    by the tokenizer's own pattern; below U+0240 its normal form changes
-    nothing. Pre-tokens are encoded by the tokenizer, many at a time. Of other
-    texts, chunks between ASCII white space that are not plain go to the
-    tokenizer as they are; neither its normaliser nor its pre-tokenizer looks
-    across white space.
+    """Ids of whole texts, where each short pre-token is encoded once.
+
+    Texts are lower-cased and cut into pre-tokens here, by array operations that
+    follow the vocabulary file's own pattern; below U+0240 its normal form
+    changes nothing. New pre-tokens are encoded by the library, many at a time,
+    and remembered under their packed characters. Long pre-tokens, and chunks
+    between ASCII white space that have other characters or a special token, go
+    to the library as they are; neither its normaliser nor its cutting looks
+    across white space. A vocabulary file of another kind is left to the library
+    altogether.
     """
 
     def __init__(self, path: str, cache: int = CACHE) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        words = self.tokenizer.get_vocab()
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.library = Tokenizer.from_file(path)
+        #: The same vocabulary for pre-tokens, which are cut and lower-cased already.
+        self.words = Tokenizer.from_file(path)
+        self.words.normalizer = normalizers.Sequence([])
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        words = self.library.get_vocab()
         self.width = 2 if max(words.values()) < 1 << 16 else 4
         self.closes = np.zeros(max(words.values()) + 1, bool)
         self.closes[[i for w, i in words.items() if w.endswith("</w>")]] = True
         with open(path) as file:
             spec = json.load(file)
-        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.cut = (_PLAIN_WORD_BPE if pattern == _WORD_BPE else regex.compile(pattern)).findall
-        self.special = [t["content"].encode() for t in spec["added_tokens"]]
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        cutting, normal = (spec.get(k) or {} for k in ("pre_tokenizer", "normalizer"))
+        patterns = [x.get("pattern", {}).get("Regex") for x in cutting.get("pretokenizers", ())]
+        self.known = patterns[:1] == [_WORD_BPE] and [x["type"] for x in normal.get("normalizers", ())] == _WORD_BPE_NORMAL
         self.limit = cache
         self.clear()
 
     def clear(self) -> None:
-        self.seen: dict[str, int] = {}
-        self.ids = np.empty(0, "<u4")
+        self.memory = Memory(self.limit)
+        self.ids = np.empty(1 << 12, "<u4")
         self.ends = np.zeros(1, np.int64)
 
-    def _plain(self, text: bytes) -> bool:
-        return len(text.translate(None, _FAR)) == len(text) and not any(s in text for s in self.special)
-
-    def _units(self, text: bytes) -> list[str]:
-        """Pre-tokens of the plain parts of a text; other chunks whole, after a space."""
-        out, at = [], 0
-        while at < len(text):
-            end = at + PART_BYTES
-            while end < len(text) and text[end] not in b" \t\n\r":
-                end += 1
-            part = text[at:end]
-            if self._plain(part):
-                out += self.cut(part.decode().lower())
-            else:
-                for chunk in part.split():
-                    out += self.cut(chunk.decode().lower()) if self._plain(chunk) else [" " + chunk.decode()]
-            at = end
-        return out
-
-    def _learn(self, new: list[str]) -> None:
-        found, ends = [self.ids], [self.ends]
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            ids = np.empty(0, "<u4")
-            stops = np.empty(0, np.int64)
-            if part[0][0] != " " and part[-1][0] != " ":
-                ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-                stops = np.flatnonzero(self.closes[ids]) + 1
-            if len(stops) != len(part):  # whole chunks, or a pre-token without an end mark: one by one
-                each = [e.ids for e in self.tokenizer.encode_batch(part, add_special_tokens=False)]
+    def _kinds(self, text: str, codes: np.ndarray) -> np.ndarray:
+        """Each character's class; whole chunks that go to the library are _FAR."""
+        kinds = _KIND[np.minimum(codes, _NEAR)]
+        far = kinds == _FAR
+        for word in self.special:
+            at = text.find(word)
+            while at >= 0:
+                far[at] = True
+                at = text.find(word, at + 1)
+        if far.any():
+            white = (codes == 32) | (codes >= 9) & (codes <= 13)
+            edges = np.flatnonzero(np.r_[True, white[1:] != white[:-1]])
+            hit = np.add.reduceat(far, edges, dtype=np.int64) > 0
+            kinds[np.repeat(hit, np.diff(np.r_[edges, len(codes)]))] = _FAR
+        return kinds
+
+    @staticmethod
+    def _starts(codes: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+        """Whether a pre-token starts at each character."""
+        changed = np.r_[True, kinds[1:] != kinds[:-1]]
+        starts = (kinds != _SPACE) & (changed | (kinds == _NUMBER))
+        marks = np.flatnonzero(changed & (kinds == _OTHER) & (codes == 39))
+        one, two = codes[np.minimum(marks + 1, len(codes) - 1)], codes[np.minimum(marks + 2, len(codes) - 1)]
+        long = (two == ord("e")) & ((one == ord("r")) | (one == ord("v"))) | (one == ord("l")) & (two == ord("l"))
+        size = np.where(np.isin(one, [ord(c) for c in "stmd"]), 2, np.where(long, 3, 0))
+        marks, size = marks[size > 0], size[size > 0]
+        inside = kinds[marks + size - 1] == _LETTER  # False beyond the text's end or in another chunk
+        marks, size = marks[inside], size[inside]
+        starts[marks + 1] = False
+        after = marks + size
+        after = after[after < len(codes)]
+        starts[after] |= kinds[after] == _LETTER
+        return starts
+
+    @staticmethod
+    def _keys(codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Packed characters of pre-tokens that stand one after the other in ``codes``."""
+        first = np.cumsum(sizes) - sizes
+        within = np.arange(len(codes)) - np.repeat(first, sizes)
+        word = within // KEY_WORD
+        shifted = codes.astype(np.uint64) << ((within - KEY_WORD * word) * KEY_BITS).astype(np.uint64)
+        at = np.flatnonzero(within == word * KEY_WORD)
+        keys = np.zeros((len(sizes), 3), np.uint64)
+        keys[np.repeat(np.arange(len(sizes)), -(-sizes // KEY_WORD)), word[at]] = np.add.reduceat(shifted, at)
+        return keys
+
+    def _encoded(self, many: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pre-tokens without white space, one after the other, and each one's number of ids."""
+        found, sizes = [], []
+        for at in range(0, len(many), 2000):
+            part = many[at : at + 2000]
+            ids = np.array(self.words.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            stops = np.flatnonzero(self.closes[ids]) + 1
+            if len(stops) != len(part):  # a pre-token without an end mark: one by one
+                each = [e.ids for e in self.words.encode_batch_fast(part, add_special_tokens=False)]
                 ids = np.array([i for e in each for i in e], "<u4")
                 stops = np.cumsum([len(e) for e in each])
             found.append(ids)
-            ends.append(stops + ends[-1][-1])
-        self.seen.update(zip(new, range(len(self.seen), len(self.seen) + len(new)), strict=True))
-        self.ids, self.ends = np.concatenate(found), np.concatenate(ends)
+            sizes.append(np.diff(stops, prepend=0))
+        return np.concatenate([np.empty(0, "<u4"), *found]), np.concatenate([np.empty(0, np.int64), *sizes])
+
+    def _put(self, ids: np.ndarray) -> int:
+        """Store ids behind those remembered; where they start."""
+        used = int(self.ends[-1])
+        if used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids[:used], np.empty(used + 2 * len(ids), "<u4")])
+        self.ids[used : used + len(ids)] = ids
+        return used
+
+    def _known(self, keys: np.ndarray, words: Callable[[np.ndarray], list[str]]) -> np.ndarray:
+        """The numbers of keys; ``words`` gives the pre-tokens at places."""
+        found = self.memory.find(keys)
+        new = np.flatnonzero(found < 0)
+        if not len(new):
+            return found
+        order = new[np.lexsort(keys[new].T)]
+        first = np.r_[True, (keys[order[1:]] != keys[order[:-1]]).any(1)]
+        if self.memory.n + int(first.sum()) > self.limit and self.memory.n:
+            self.clear()
+            return self._known(keys, words)
+        ids, sizes = self._encoded(words(order[first]))
+        self._put(ids)
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+        found[order] = self.memory.n - 1 + np.cumsum(first)
+        if self.memory.n + len(sizes) <= self.limit:
+            self.memory.add(keys[order[first]])
+        else:  # more than fits, in one part of a text: remembered for this part only
+            self.memory.n += len(sizes)
+        return found
+
+    def _part(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where each pre-token starts in the text, its number of ids)."""
+        codes = np.frombuffer(text.encode("utf-32-le"), "<u4")
+        none = np.empty(0, np.int64)
+        if not len(codes):
+            return np.empty(0, "<u4"), none, none
+        kinds = self._kinds(text, codes)
+        low = _LOWER[np.minimum(codes, _NEAR)]
+        starts = self._starts(low, kinds)
+        at = np.flatnonzero(starts)
+        if not len(at):
+            return np.empty(0, "<u4"), none, none
+        shown = kinds != _SPACE
+        number = np.cumsum(starts)[shown] - 1
+        sizes = np.bincount(number, minlength=len(at))
+        short = (kinds[at] != _FAR) & (sizes <= KEY_CHARS)
+        lowered = low.astype("<u4").tobytes().decode("utf-32-le")
+        if short.all():
+            keys, inner = self._keys(low[shown], sizes), at
+        else:
+            keys, inner = self._keys(low[shown][short[number]], sizes[short]), at[short]
+        lengths = sizes if short.all() else sizes[short]
+        k = self._known(keys, lambda places: [lowered[a : a + n] for a, n in zip(inner[places].tolist(), lengths[places].tolist(), strict=True)])
+        begin, count = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+        begin[short], count[short] = self.ends[k], self.ends[k + 1] - self.ends[k]
+        if not short.all():
+            rest = np.flatnonzero(~short)
+            units = [text[a : a + n] if far else lowered[a : a + n] for a, n, far in zip(at[rest].tolist(), sizes[rest].tolist(), (kinds[at[rest]] == _FAR).tolist(), strict=True)]
+            names = {u: i for i, u in enumerate(dict.fromkeys(units))}
+            each = [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(list(names), add_special_tokens=False)]
+            many = np.array([len(e) for e in each], np.int64)
+            base = self._put(np.concatenate(each)) + np.cumsum(many) - many
+            place = np.fromiter(map(names.__getitem__, units), np.int64, len(units))
+            begin[rest], count[rest] = base[place], many[place]
+        stops = np.cumsum(count)
+        return self.ids[np.arange(int(stops[-1])) + np.repeat(begin - stops + count, count)], at, count
 
     def encode(self, many: list[bytes], end_id: int = END_ID) -> list[np.ndarray]:
         """The ids of each text, each with the end id appended."""
-        units = [self._units(x) for x in many]
-        every = set().union(*units)
-        new = [t for t in every if t not in self.seen]
-        if len(self.seen) + len(new) > self.limit:
-            self.clear()
-            new = list(every)
-        if new:
-            self._learn(sorted(new))
-        counts = [len(u) for u in units]
-        k = np.fromiter(map(self.seen.__getitem__, chain.from_iterable(units)), np.int64, sum(counts))
-        starts, sizes = self.ends[k], self.ends[k + 1] - self.ends[k]
-        stops = np.cumsum(sizes)
-        ids = self.ids[np.arange(int(sizes.sum())) + np.repeat(starts - stops + sizes, sizes)]
-        cuts = np.r_[0, stops][np.cumsum(counts)] if counts else []
-        return [np.append(ids[a:b], np.uint32(end_id)) for a, b in zip(np.r_[0, cuts[:-1]].astype(int).tolist(), np.asarray(cuts, int).tolist(), strict=True)]
+        decoded = [x.decode() for x in many]
+        if not self.known:
+            return [np.array([*e.ids, end_id], "<u4") for e in self.library.encode_batch_fast(decoded, add_special_tokens=False)]
+        out: list[list[np.ndarray]] = [[] for _ in many]
+        waiting: list[tuple[int, str]] = []
+
+        def flush() -> None:
+            ids, at, count = self._part("\n".join(t for _, t in waiting))
+            edges = np.cumsum([0, *(len(t) + 1 for _, t in waiting)])
+            total = np.r_[0, np.cumsum(count)][np.searchsorted(at, edges)].tolist()
+            for (k, _), a, b in zip(waiting, total, total[1:], strict=False):
+                out[k].append(ids[a:b])
+            waiting.clear()
+
+        held = 0
+        for k, text in enumerate(decoded):
+            at = 0
+            while at < len(text):
+                end = at + PART_CHARS
+                while end < len(text) and text[end] not in " \t\n\r":
+                    end += 1
+                waiting.append((k, text[at:end]))
+                held += len(waiting[-1][1])
+                if held >= PART_CHARS:
+                    flush()
+                    held = 0
+                at = end
+        if waiting:
+            flush()
+        last = np.array([end_id], "<u4")
+        return [np.concatenate([*found, last]) for found in out]
 
 
 _encoders: dict[str, Encoder] = {}
