@@ -130,7 +130,7 @@ def expected(page):
         text = " ".join(html.unescape(text).split())
         if text:
             out.append(text)
-    return "\n".join(out)
+    return "\n\n".join(out)
 
 
 def test_main_text_of_the_tables(spark, tiny):
@@ -146,24 +146,24 @@ def test_template_is_induced_from_pages_of_a_host(spark):
     rows = [(k, f"https://one.example/{k}", page(k)) for k in range(8)] + [(100, "http://two.example/", page(100)), (101, None, None), (None, "x", ""), (102, "http://ONE.example:80/q", page(3))]
     got = {r["page_id"]: r["text"] for r in wrapper.extract(pages(spark, rows)).collect()}
     for k in range(8):
-        assert got[k] == f"Story {k} begins & goes on\nIt ends with {k * 7}."
+        assert got[k] == f"Story {k} begins & goes on\n\nIt ends with {k * 7}."
     assert got[102] == got[3]
-    assert got[100].startswith("Old Harbour Gazette\nStory 100") and got[101] == "" and got[None] == ""
+    assert got[100].startswith("Old Harbour Gazette\n\nStory 100") and got[101] == "" and got[None] == ""
     assert wrapper.extract(pages(spark, [])).count() == 0
 
 
 @pytest.mark.parametrize(
     ("page", "text"),
     [
-        ("<main><h1>T</h1><p>a<br>b &lt;c&gt;\n d<p>e", "T\na b <c> d\ne"),
-        ("<article><header><h1>T</h1></header>x<div class='comments'><p>no</p></div><form>f</form><aside>s</aside>y</article>", "T\nx\ny"),
+        ("<main><h1>T</h1><p>a<br>b &lt;c&gt;\n d<p>e", "T\n\na b <c> d\n\ne"),
+        ("<article><header><h1>T</h1></header>x<div class='comments'><p>no</p></div><form>f</form><aside>s</aside>y</article>", "T\n\nx\n\ny"),
         ("<body><header>H</header><nav>N</nav><div id=cookie-notice>C</div><p>Body text</p><footer>F</footer>", "Body text"),
         ("plain & simple", "plain & simple"),
-        ("<p>a<b>b</p>c<script>if (a</b) '</p>'</script>d<!-- x > y -->e", "ab\ncde"),
-        ("<ul><li>one<li>two</ul><table><tr><td>x<td>y</table>", "one\ntwo\nx\ny"),
+        ("<p>a<b>b</p>c<script>if (a</b) '</p>'</script>d<!-- x > y -->e", "ab\n\ncde"),
+        ("<ul><li>one<li>two</ul><table><tr><td>x<td>y</table>", "one\n\ntwo\n\nx\n\ny"),
         ("<article></article><p>z", "z"),
-        ("<article><header class='entry-header'><h1 class=header>T</h1></header><p>x</p></article>", "T\nx"),
-        ("<div class=site-header>no</div><h2 class='page-header'>T</h2><p>x", "T\nx"),
+        ("<article><header class='entry-header'><h1 class=header>T</h1></header><p>x</p></article>", "T\n\nx"),
+        ("<div class=site-header>no</div><h2 class='page-header'>T</h2><p>x", "T\n\nx"),
         ("<p>unclosed <a href='x>y'>link", "unclosed link"),
         ("<p style='display: none'>hid</p><p hidden>hid</p><p>shown</p>", "shown"),
     ],

@@ -30,7 +30,7 @@ def test_the_notice_after_many_paragraphs_goes(spark):
 
     rows = spark.createDataFrame([(k, f"https://one.example/{k}", page(k)) for k in range(6)], "page_id long, url string, html string")
     for r in wrapper.extract(rows).collect():
-        assert r["text"] == "\n".join(f"line {r['page_id']} {i}" for i in range(205 + r["page_id"]))
+        assert r["text"] == "\n\n".join(f"line {r['page_id']} {i}" for i in range(205 + r["page_id"]))
 
 
 def test_the_template_decides_inside_and_outside_a_marked_article(spark):
@@ -40,8 +40,8 @@ def test_the_template_decides_inside_and_outside_a_marked_article(spark):
     rows = [(k, f"https://one.example/{k}", page(k)) for k in range(6)] + [(100, "https://two.example/", page(100))]
     got = {r["page_id"]: r["text"] for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     for k in range(6):
-        assert got[k] == f"Teaser {k}\nStory {k}\nIt ends with {k * 7}."
-    assert got[100] == "Story 100\nRead more in our app\nIt ends with 700."
+        assert got[k] == f"Teaser {k}\n\nStory {k}\n\nIt ends with {k * 7}."
+    assert got[100] == "Story 100\n\nRead more in our app\n\nIt ends with 700."
 
 
 def test_deep_pages_have_a_text():
@@ -84,5 +84,31 @@ def test_each_layout_of_a_host_has_its_template(spark):
 
     rows = [(k, (one, two)[k % 2](k)) for k in range(12)] + [(50, ""), (51, "<body><p>Not found")]
     got = {r["page_id"]: r["text"] for r in wrapper.extract(spark.createDataFrame([(k, f"https://one.example/{k}", x) for k, x in rows], "page_id long, url string, html string")).collect()}
-    assert [got[k] for k in range(12)] == [(f"Story {k}", f"Picture {k}\nSeen by many {k}")[k % 2] for k in range(12)]
+    assert [got[k] for k in range(12)] == [(f"Story {k}", f"Picture {k}\n\nSeen by many {k}")[k % 2] for k in range(12)]
     assert got[50] == "" and got[51] == "Not found"
+
+
+def test_references_as_rows_give_the_broadcast_ones_results(spark, small, monkeypatch):
+    table = spark.read.parquet(f"{small}/pages.parquet")
+    assert table.count() > 100
+    one = sorted(map(tuple, wrapper.extract(table).collect()))
+    monkeypatch.setattr(wrapper, "MOST_BROADCAST", -1)
+    monkeypatch.setattr(wrapper, "GROUP_ROWS", 7)
+    assert sorted(map(tuple, wrapper.extract(table).collect())) == one
+
+
+def test_pages_without_a_host_have_no_template(spark):
+    rows = [(k, url, f"<body><p>Same line</p><p>Other {k}</p></body>") for k, url in enumerate([None, "", "no host", "/a"] * 3)]
+    got = wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == {k: f"Same line\n\nOther {k}" for k in range(12)}
+
+
+def test_remembered_alignments_equal_new_ones():
+    def page(k):
+        return "<body>" + "".join(f"<p>{'same' if (k + i) % 3 else i}</p>" for i in range(k % 7)) + "<div>All rights<ul><li>x</ul></div></body>"
+
+    trees = [wrapper.skeleton(wrapper.parse(page(k))) for k in range(40)]
+    reference = wrapper.Reference(trees[5])
+    for tree in trees * 2:
+        assert reference.align(tree) == wrapper.align(trees[5], tree)
+    assert wrapper._unpack(wrapper._pack(trees[6])) == trees[6] and wrapper._unpack("") == []

@@ -23,8 +23,8 @@ All pages of a host vote; the votes are added up by (host, node), so a host with
 a third of all pages is no heavier for any one task.
 
 Defined results: a null or empty html has an empty text; pages without a host
-form a group of their own; equal html votes once; rows that are equal get equal
-results.
+have no template; pages of equal blocks vote once; rows that are equal get equal results.
+Blocks are joined by two line feeds.
 """
 
 from __future__ import annotations
@@ -32,8 +32,9 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import Counter
-from collections.abc import Collection, Iterator
+from collections.abc import Callable, Collection, Iterator
 from dataclasses import dataclass, field
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,10 @@ from .common import materialize, pieces, texts
 #: Pages of a host that must have a node for it to become template, and the share of them with the same text.
 LEAST_PAGES = 4
 CONSTANT_SHARE = 0.6
+#: Share of the pages with the parent of a node outside the marked parts that must have the node's text.
+LEAST_SHARE = 1 / 3
+#: Bytes of references up to which they are broadcast; rows of a host that one task takes beyond that; nodes of remembered alignments.
+MOST_BROADCAST, GROUP_ROWS, MOST_HELD = 64 << 20, 16384, 1_000_000
 
 RAW = {"script", "style", "textarea", "title", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -212,8 +217,6 @@ def content_nodes(root: Node) -> list[Node]:
 # A skeleton is a page's block tree in page order: [depth, tag, text] of each node
 # outside chrome, the text being the node's own, or its digest where that is shorter.
 Skeleton = list[tuple[int, str, str]]
-#: A reference tree, the nodes that enough pages voted on, and the constant ones of these.
-Template = tuple[Skeleton, frozenset[int], frozenset[int]]
 
 
 def skeleton(root: Node) -> Skeleton:
@@ -319,7 +322,51 @@ def align(a: Skeleton, b: Skeleton) -> list[tuple[int, int]]:
     return pairs
 
 
-def main_text(root: Node, templates: Collection[Template] = ()) -> str:
+def decide(tree: Skeleton, votes: Collection[tuple[int, int, int]]) -> tuple[frozenset[int], frozenset[int]]:
+    """The nodes that enough pages voted on, and the constant ones, from (node, pages that have it, those with its text).
+
+    A constant node has its text in most pages that have the node, and in enough
+    of those that have its parent: a line that some articles share is aligned
+    with itself wherever it stands, but most articles don't have it.
+    """
+    above, marked, path = [0] * len(tree), [False] * len(tree), []
+    for i, (depth, tag, _) in enumerate(tree):
+        del path[depth:]
+        if path:
+            above[i] = path[-1]
+            marked[i] = marked[path[-1]]
+        marked[i] |= tag in CONTENT_TAGS
+        path.append(i)
+    n = {i: k for i, k, _ in votes}
+    decided = frozenset(i for i, k in n.items() if k >= LEAST_PAGES)
+    constant = frozenset(i for i, k, same in votes if k >= LEAST_PAGES and tree[i][2] and same >= CONSTANT_SHARE * k and same >= (CONSTANT_SHARE if marked[i] else LEAST_SHARE) * n.get(above[i], k))
+    return decided, constant
+
+
+class Reference:
+    """A reference tree and the alignments with it that a worker remembers.
+
+    An alignment depends on a page's tags and on which of its texts the tree has
+    under the same tag, so pages that differ in other texts share one.
+    """
+
+    held = 0
+
+    def __init__(self, tree: Skeleton, digest: int = 0, votes: Collection[tuple[int, int, int]] = ()) -> None:
+        self.tree, self.digest = tree, digest
+        self.decided, self.constant = decide(tree, votes)
+        self.texts = {x[1:] for x in tree}
+        self.seen: dict[tuple, list[tuple[int, int]]] = {}
+
+    def align(self, own: Skeleton) -> list[tuple[int, int]]:
+        key = tuple(x if x[1:] in self.texts else x[:2] for x in own)
+        if key not in self.seen:
+            self.seen[key] = align(self.tree, [x if len(x) == 3 else (*x, None) for x in key])
+            Reference.held += len(key)
+        return self.seen[key]
+
+
+def main_text(root: Node, templates: Collection[Reference] = ()) -> str:
     """The page's text: its blocks without the templates' constant nodes.
 
     Where the page marks content, a block outside of it stays only if the
@@ -328,25 +375,23 @@ def main_text(root: Node, templates: Collection[Template] = ()) -> str:
     marked = {id(x) for x in content_nodes(root)}
     gone, slots = set(), set()
     own = skeleton(root) if templates else []
-    for reference, decided, constant in templates:
-        for i, j in align(reference, own):
-            if i in constant and reference[i][2] == own[j][2]:
+    for reference in templates:
+        for i, j in reference.align(own):
+            if i in reference.constant and reference.tree[i][2] == own[j][2]:
                 gone.add(j)
-            elif i in decided:
+            elif i in reference.decided:
                 slots.add(j)
-    return "\n".join(text for text, inside, place in blocks(root, marked) if place not in gone and (inside or not marked or place in slots))
+    return "\n\n".join(text for text, inside, place in blocks(root, marked) if place not in gone and (inside or not marked or place in slots))
 
 
-NODES = "array<struct<depth:int,tag:string,text:string>>"
-_NODE = pa.list_(pa.struct([("depth", pa.int32()), ("tag", pa.string()), ("text", pa.string())]))
+def _pack(tree: Skeleton) -> str:
+    """One line a node; no tag or text has a tab or a line feed."""
+    return "\n".join(f"{d}\t{tag}\t{text}" for d, tag, text in tree)
 
 
-def _pack(tree: Skeleton) -> list[dict]:
-    return [{"depth": d, "tag": t, "text": x} for d, t, x in tree]
-
-
-def _unpack(nodes: list[dict]) -> Skeleton:
-    return [(x["depth"], x["tag"], x["text"]) for x in nodes]
+def _unpack(nodes: str) -> Skeleton:
+    split = [x.split("\t") for x in nodes.split("\n")] if nodes else []
+    return [(int(d), tag, text) for d, tag, text in split]
 
 
 def host(url: Column) -> Column:
@@ -356,8 +401,8 @@ def host(url: Column) -> Column:
 
 def _skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "html"):
-        trees = [skeleton(parse(x.decode())) for x in texts(batch.column("html"))]
-        yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("digest"), pa.array([_pack(t) for t in trees], _NODE)], ["host", "digest", "nodes"])
+        trees = [_pack(skeleton(parse(x.decode()))) for x in texts(batch.column("html"))]
+        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(trees, pa.string())], ["host", "nodes"])
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -381,23 +426,95 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string(), *[pa.int64()] * 3], strict=True)], ["host", "place", "text", "digest"])
 
 
-def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(pieces(batches, "nodes"), "references"):
-        votes: dict[tuple[str, int, int], list[int]] = {}
-        known: dict[str, list[tuple[int, Skeleton]]] = {}
-        for k, row in enumerate(batch.select(["host", "nodes"]).to_pylist()):
-            own = _unpack(row["nodes"])
-            if row["host"] not in known:
-                known[row["host"]] = [(x["digest"], _unpack(x["nodes"])) for x in batch.column("references")[k].as_py()]
-            for digest, reference in known[row["host"]]:
-                for i, j in align(reference, own):
-                    if reference[i][2] or own[j][2]:
-                        vote = votes.setdefault((row["host"], digest, i), [0, 0])
-                        vote[0] += 1
-                        vote[1] += reference[i][2] == own[j][2]
-        columns = list(zip(*[(*k, *v) for k, v in votes.items()], strict=True)) or [[]] * 5
-        kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["host", "digest", "place", "n", "same"])
+class Known:
+    """The references of the hosts a task has met, from a broadcast table or from rows among the pages.
+
+    What it remembers is bounded: hosts come grouped in the second case, and
+    alignments are forgotten beyond ``MOST_HELD`` nodes.
+    """
+
+    def __init__(self, shared: Any) -> None:
+        self.shared = shared
+        self.now: tuple[str | None, list[Reference]] = (None, [])
+        self.made: dict[str, list[Reference]] = {}
+
+    @staticmethod
+    def _made(packed: list[dict]) -> list[Reference]:
+        return [Reference(_unpack(x["nodes"]), x["digest"], [(v["place"], v["n"], v["same"]) for v in x["votes"] or ()]) for x in packed or ()]
+
+    def learn(self, name: str, packed: list[dict]) -> None:
+        if self.now[0] != name:
+            self.now = (name, self._made(packed))
+
+    def of(self, name: str) -> list[Reference]:
+        if Reference.held > MOST_HELD:
+            Reference.held = 0
+            for reference in [*self.now[1], *(r for found in self.made.values() for r in found)]:
+                reference.seen.clear()
+        if self.shared is None:
+            return self.now[1] if self.now[0] == name else []
+        if name not in self.made:
+            self.made[name] = self._made(self.shared.value.get(name, []))
+        return self.made[name]
+
+
+def meet(rows: DataFrame, made: DataFrame, by: str, work: Callable[[pa.RecordBatch, Known], pa.RecordBatch], schema: str) -> DataFrame:
+    """``work`` on batches of rows, with the references of their hosts.
+
+    ``rows`` has columns host, ``by`` (what spreads a host's rows) and others;
+    ``made`` has (host, references). Up to ``MOST_BROADCAST`` bytes, measured on
+    the written table, the references are broadcast. Beyond, they travel as rows
+    of their own: a host's rows are dealt over as many groups as its size asks
+    for, each led by a copy of the references.
+    """
+    spark = rows.sparkSession
+    names = [c for c in rows.columns if c != "host"]
+    total = made.agg(F.sum(F.length(F.to_json("references")))).first()[0] or 0
+    if total <= MOST_BROADCAST:
+        table = {r["host"]: [x.asDict() for x in r["references"]] for r in made.collect()}  # MOST_BROADCAST bytes at most
+        shared = spark.sparkContext.broadcast(table)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = Known(shared)
+            for batch in pieces(batches, names[-1]):
+                yield work(batch, known)
+
+        return rows.mapInArrow(run, schema)
+
+    counts = rows.groupBy("host").agg(F.ceil(F.count("*") / F.lit(GROUP_ROWS)).alias("groups"))
+    counts = materialize(counts.join(made.select("host"), "host", "left_semi"), "wrapper-groups")
+    salt = F.coalesce(F.pmod(F.xxhash64(by), F.col("groups")), F.lit(0)).alias("salt")
+    led = rows.join(counts, "host", "left").select("host", salt, F.lit(1).alias("order"), *names, F.lit(None).cast(made.schema["references"].dataType).alias("references"))
+    heads = made.join(counts, "host").select("host", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("salt"), F.lit(0).alias("order"), *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in names], "references")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = led.unionByName(heads).repartition(n, "host", "salt").sortWithinPartitions("host", "salt", "order")
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known(None)
+        for batch in pieces(batches, names[-1]):
+            heads = [k for k, x in enumerate(batch.column("order").to_pylist()) if x == 0]
+            for k, end in zip([-1, *heads], [*heads, batch.num_rows], strict=True):
+                if k >= 0:
+                    known.learn(batch.column("host")[k].as_py(), batch.column("references")[k].as_py())
+                if end > k + 1:
+                    yield work(batch.slice(k + 1, end - k - 1), known)
+
+    return dealt.mapInArrow(stream, schema)
+
+
+def _votes(batch: pa.RecordBatch, known: Known) -> pa.RecordBatch:
+    votes: dict[tuple[str, int, int], list[int]] = {}
+    for name, packed in zip(batch.column("host").to_pylist(), batch.column("nodes").to_pylist(), strict=True):
+        own = _unpack(packed)
+        for reference in known.of(name):
+            tree = reference.tree
+            for i, j in reference.align(own):
+                vote = votes.setdefault((name, reference.digest, i), [0, 0])
+                vote[0] += 1
+                vote[1] += tree[i][2] == own[j][2]
+    columns = list(zip(*[(*k, *v) for k, v in votes.items()], strict=True)) or [[]] * 5
+    kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["host", "digest", "place", "n", "same"])
 
 
 def references(trees: DataFrame) -> DataFrame:
@@ -410,37 +527,32 @@ def references(trees: DataFrame) -> DataFrame:
     return per_place.select("host", chosen.alias("digest")).distinct()
 
 
+REFERENCES = "array<struct<digest:long,nodes:string,votes:array<struct<place:int,n:long,same:long>>>>"
+
+
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, templates): the trees of each host's references, their nodes with enough votes and the constant ones.
+    """(host, references): the trees of each host's references with the votes on their nodes.
 
-    One row per host.
+    One row per host; pages with equal trees vote once.
     """
-    narrow = pages.select(host(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).where("html is not null")
-    narrow = narrow.withColumn("digest", F.xxhash64("html"))
-    trees = materialize(narrow.mapInArrow(_skeletons, f"host string, digest long, nodes {NODES}").dropDuplicates(["host", "digest"]), "wrapper-trees")
+    narrow = pages.select(host(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).where("html is not null and host <> ''")
+    parsed = narrow.mapInArrow(_skeletons, "host string, nodes string").withColumn("digest", F.xxhash64("nodes"))
+    trees = materialize(parsed.dropDuplicates(["host", "digest"]), "wrapper-trees")
     chosen = materialize(trees.join(references(trees), ["host", "digest"], "left_semi"), "wrapper-references")
-    grouped = chosen.groupBy("host").agg(F.collect_list(F.struct("digest", "nodes")).alias("references"))
-    votes = trees.select("host", "nodes").join(grouped, "host").mapInArrow(_votes, "host string, digest long, place int, n long, same long")
+    grouped = chosen.groupBy("host").agg(F.collect_list(F.struct("digest", "nodes", F.lit(None).alias("votes"))).cast(REFERENCES).alias("references"))
+    votes = meet(trees.select("host", "digest", "nodes"), materialize(grouped, "wrapper-grouped"), "digest", _votes, "host string, digest long, place int, n long, same long")
     counted = votes.groupBy("host", "digest", "place").agg(F.sum("n").alias("n"), F.sum("same").alias("same"))
-    fixed = F.when(F.col("same") >= CONSTANT_SHARE * F.col("n"), F.col("place"))
-    places = counted.where(F.col("n") >= LEAST_PAGES).groupBy("host", "digest").agg(F.sort_array(F.collect_list("place")).alias("decided"), F.sort_array(F.collect_list(fixed)).alias("constant"))
-    made = chosen.join(places, ["host", "digest"]).groupBy("host").agg(F.collect_list(F.struct("nodes", "decided", "constant")).alias("templates"))
+    per_tree = counted.groupBy("host", "digest").agg(F.sort_array(F.collect_list(F.struct("place", "n", "same"))).alias("votes"))
+    made = chosen.join(per_tree, ["host", "digest"]).groupBy("host").agg(F.sort_array(F.collect_list(F.struct("digest", "nodes", "votes"))).cast(REFERENCES).alias("references"))
     return materialize(made, "wrapper-templates")
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(pieces(batches, "html"), "templates"):
-        out = []
-        known: dict[str, list[Template]] = {}
-        for k, (page, name) in enumerate(zip(texts(batch.column("html")), batch.column("host").to_pylist(), strict=True)):
-            if name not in known:
-                known[name] = [(_unpack(x["nodes"]), frozenset(x["decided"]), frozenset(x["constant"])) for x in batch.column("templates")[k].as_py() or ()]
-            out.append(main_text(parse(page.decode()), known[name]))
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
+def _extract(batch: pa.RecordBatch, known: Known) -> pa.RecordBatch:
+    out = [main_text(parse(page.decode()), known.of(name)) for page, name in zip(texts(batch.column("html")), batch.column("host").to_pylist(), strict=True)]
+    return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host(F.col("url")).alias("host"))
-    joined = rows.join(templates(pages), "host", "left").select("page_id", "url", "host", "html", "templates")
-    return joined.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    rows = pages.select(host(F.col("url")).alias("host"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    return meet(rows, templates(pages), "page_id", _extract, "page_id long, url string, text string, n_chars long")
