@@ -51,6 +51,8 @@ CONSTANT_SHARE = 0.6
 LEAST_SHARE = 1 / 3
 #: Bytes of references up to which they are broadcast; rows of a host that one task takes beyond that; nodes of remembered alignments.
 MOST_BROADCAST, GROUP_ROWS, MOST_HELD = 64 << 20, 16384, 1_000_000
+#: Children of a node up to which an alignment's table is computed cell by cell.
+SMALL = 24
 
 RAW = {"script", "style", "textarea", "title", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -211,7 +213,19 @@ def content_nodes(root: Node) -> list[Node]:
             found += inner or [x]
         else:
             work += [p for p in reversed(x.parts) if isinstance(p, Node) and not p.chrome]
-    return [x for x in found if blocks(x)]
+    return [x for x in found if _has_text(x)]
+
+
+def _has_text(node: Node) -> bool:
+    work = list(node.parts)
+    while work:
+        x = work.pop()
+        if isinstance(x, str):
+            if _text([x]):
+                return True
+        elif not x.chrome:
+            work += x.parts
+    return False
 
 
 # A skeleton is a page's block tree in page order: [depth, tag, text] of each node
@@ -257,27 +271,64 @@ def _codes(a: Skeleton, b: Skeleton) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.array([known.setdefault(x[1:], len(known)) for x in tree], np.int64) for tree in (a, b))
 
 
+class Bits:
+    """A row of truth values, one bit each."""
+
+    __slots__ = ("packed",)
+
+    def __init__(self, row: np.ndarray) -> None:
+        self.packed = np.packbits(row)
+
+    def __getitem__(self, k: int) -> int:
+        return int(self.packed[k >> 3]) >> (7 - (k & 7)) & 1
+
+
 def align(a: Skeleton, b: Skeleton) -> list[tuple[int, int]]:
     """Matched nodes (place in a, place in b) by simple tree matching.
 
-    The rows of a table are computed whole; of each only two bits a cell stay:
-    whether the match is as large without the left node, or without the right.
+    Of each table only two bits a cell stay: whether the match is as large
+    without the left node, or without the right. Rows of wide tables are
+    computed whole, small tables cell by cell; both give the same.
     """
     if not a or not b or a[0][1] != b[0][1]:
         return []
     kids_a, kids_b = _children(a), _children(b)
     own_a, own_b = _codes(a, b)
+    codes_a, codes_b = own_a.tolist(), own_b.tolist()
     tags: dict[str, int] = {}
     tag_a, tag_b = (np.array([tags.setdefault(x[1], len(tags)) for x in tree], np.int64) for tree in (a, b))
     sizes: dict[tuple[int, int], int] = {}
-    tables: dict[tuple[int, int], tuple[list[np.ndarray], list[np.ndarray]]] = {}
+    tables: dict[tuple[int, int], tuple[list, list]] = {}
     inner_b = [[(k, y) for k, y in enumerate(kids) if kids_b[y]] for kids in kids_b]
 
     def measure(i: int, j: int) -> None:
         """Nodes in the largest match of the subtrees at i and j, whose children's are known; an equal text breaks ties."""
         left, right = kids_a[i], kids_b[j]
         top, ups, lefts = 0, [], []
-        if left and right:
+        if left and right and len(right) <= SMALL:
+            before = [0] * (len(right) + 1)
+            for x in left:
+                now, up, on, best, wide, tag, own = [0], [True], [], 0, kids_a[x], a[x][1], codes_a[x]
+                for k, y in enumerate(right):
+                    size = before[k + 1]
+                    if wide and kids_b[y]:
+                        more = before[k] + sizes.get((x, y), 0)
+                    else:
+                        more = before[k] + (1001 if own == codes_b[y] else 1000 if tag == b[y][1] else 0)
+                    if more > size:
+                        size = more
+                    if best > size:
+                        size = best
+                    up.append(size == before[k + 1])
+                    on.append(size == best)
+                    now.append(size)
+                    best = size
+                ups.append(up)
+                lefts.append(on)
+                before = now
+            top = before[-1]
+            tables[i, j] = ups, lefts
+        elif left and right:
             tag, own = tag_b[right], own_b[right]
             above = np.zeros(len(right) + 1, np.int64)
             for x in left:
@@ -288,8 +339,8 @@ def align(a: Skeleton, b: Skeleton) -> list[tuple[int, int]]:
                 row = above.copy()
                 np.maximum(row[1:], above[:-1] + gain, out=row[1:])
                 np.maximum.accumulate(row, out=row)
-                ups.append(np.packbits(row == above))
-                lefts.append(np.packbits(row[1:] == row[:-1]))
+                ups.append(Bits(row == above))
+                lefts.append(Bits(row[1:] == row[:-1]))
                 above = row
             top = int(above[-1])
             tables[i, j] = ups, lefts
@@ -312,9 +363,9 @@ def align(a: Skeleton, b: Skeleton) -> list[tuple[int, int]]:
         (ups, lefts), left, right = tables[i, j], kids_a[i], kids_b[j]
         x, y = len(left), len(right)
         while x and y:
-            if ups[x - 1][y >> 3] >> (7 - (y & 7)) & 1:
+            if ups[x - 1][y]:
                 x -= 1
-            elif lefts[x - 1][(y - 1) >> 3] >> (7 - ((y - 1) & 7)) & 1:
+            elif lefts[x - 1][y - 1]:
                 y -= 1
             else:
                 x, y = x - 1, y - 1
@@ -356,15 +407,22 @@ class Reference:
         self.tree, self.digest = tree, digest
         self.decided, self.constant = decide(tree, votes)
         self.texts = {x[1:] for x in tree}
+        self.fixed = {tree[i][1:] for i in self.constant}
         self.seen: dict[tuple, list[tuple[int, int]]] = {}
 
-    def align(self, own: Skeleton) -> list[tuple[int, int]]:
-        key = tuple(x if x[1:] in self.texts else x[:2] for x in own)
+    def key(self, own: Skeleton) -> tuple:
+        """A page as this tree sees it: texts that the tree lacks are left out."""
+        return tuple([x if x[1:] in self.texts else (x[0], x[1], None) for x in own])
+
+    def matched(self, key: tuple) -> list[tuple[int, int]]:
         if key not in self.seen:
-            self.seen[key] = align(self.tree, [x if len(x) == 3 else (*x, None) for x in key])
+            self.seen[key] = align(self.tree, key)
             Reference.held += len(key)
         return self.seen[key]
 
+    def align(self, own: Skeleton) -> list[tuple[int, int]]:
+        return self.matched(self.key(own))
+
 
 def main_text(root: Node, templates: Collection[Reference] = ()) -> str:
     """The page's text: its blocks without the templates' constant nodes.
@@ -373,15 +431,20 @@ def main_text(root: Node, templates: Collection[Reference] = ()) -> str:
     templates have it as a varying slot.
     """
     marked = {id(x) for x in content_nodes(root)}
+    found = blocks(root, marked)
+    outside = bool(marked) and any(not inside for _, inside, _ in found)
+    own = skeleton(root) if templates and found else []
+    have = {x[1:] for x in own} if not outside else set()
     gone, slots = set(), set()
-    own = skeleton(root) if templates else []
     for reference in templates:
+        if not outside and have.isdisjoint(reference.fixed):
+            continue  # no constant node is in the page, so it could lose none
         for i, j in reference.align(own):
             if i in reference.constant and reference.tree[i][2] == own[j][2]:
                 gone.add(j)
             elif i in reference.decided:
                 slots.add(j)
-    return "\n\n".join(text for text, inside, place in blocks(root, marked) if place not in gone and (inside or not marked or place in slots))
+    return "\n\n".join(text for text, inside, place in found if place not in gone and (inside or not marked or place in slots))
 
 
 def _pack(tree: Skeleton) -> str:
@@ -503,15 +566,17 @@ def meet(rows: DataFrame, made: DataFrame, by: str, work: Callable[[pa.RecordBat
 
 
 def _votes(batch: pa.RecordBatch, known: Known) -> pa.RecordBatch:
-    votes: dict[tuple[str, int, int], list[int]] = {}
+    seen: Counter = Counter()
     for name, packed in zip(batch.column("host").to_pylist(), batch.column("nodes").to_pylist(), strict=True):
         own = _unpack(packed)
-        for reference in known.of(name):
-            tree = reference.tree
-            for i, j in reference.align(own):
-                vote = votes.setdefault((name, reference.digest, i), [0, 0])
-                vote[0] += 1
-                vote[1] += tree[i][2] == own[j][2]
+        seen.update((name, reference, reference.key(own)) for reference in known.of(name))
+    votes: dict[tuple[str, int, int], list[int]] = {}
+    for (name, reference, key), times in seen.items():
+        tree = reference.tree
+        for i, j in reference.matched(key):
+            vote = votes.setdefault((name, reference.digest, i), [0, 0])
+            vote[0] += times
+            vote[1] += times * (tree[i][2] == key[j][2])
     columns = list(zip(*[(*k, *v) for k, v in votes.items()], strict=True)) or [[]] * 5
     kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["host", "digest", "place", "n", "same"])
