@@ -83,3 +83,20 @@ def test_cleaned_texts(spark):
     text = "p" * 10 + "q" * 5 + "".join(map(chr, range(200, 500)))
     docs = spark.createDataFrame([(1, text + "one"), (2, "two" + text), (3, "three")], "doc_id long, text string")
     assert {r[0]: r[1] for r in suffix_dedup.deduplicate(docs).collect()} == {1: "one", 2: "two", 3: "three"}
+
+
+def test_hash_zero_is_a_key_like_any_other(monkeypatch):
+    data = np.random.default_rng(1).integers(0, 256, 1200).astype(np.uint8)
+    real = suffix_dedup.gram_hashes
+
+    def forced(x):
+        h = real(x).copy()
+        h[300::150] &= np.uint64(0xFFFFFFFF)
+        return h
+
+    monkeypatch.setattr(suffix_dedup, "gram_hashes", forced)
+    places, _ = suffix_dedup.anchors(data, np.array([len(data)]))
+    reach = suffix_dedup.LEFT + 1
+    for start in range(len(data) - suffix_dedup.WINDOW + 1):
+        assert ((places >= start) & (places < start + reach)).any()
+    assert {300, 450, 600} <= set(places.tolist())

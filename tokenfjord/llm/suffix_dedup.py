@@ -97,14 +97,14 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     if len(data) < WINDOW:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     h = gram_hashes(data)
-    key = (h >> np.uint64(32)).astype(np.uint32)
+    key = np.maximum((h >> np.uint64(32)).astype(np.uint32), 1)  # 0 marks windows that cross an end
     n = LEFT + 1
     least = _sliding(key, n, np.minimum)  # by window start
     for end in ends[:-1].tolist():
         least[max(0, end - WINDOW + 1) : end] = 0
     padded = np.zeros(len(least) + 2 * LEFT, np.uint32)
     padded[LEFT : LEFT + len(least)] = least
-    chosen = np.flatnonzero((_sliding(padded, n, np.maximum) == key) & (key > 0))
+    chosen = np.flatnonzero((_sliding(padded, n, np.maximum) == key))
     return chosen, h[chosen]
 
 
