@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tokenfjord.llm import decontam, mixing, quality, queries, simhash, suffix_dedup, telephony, token_store, toxicity
+from tokenfjord.llm import decontam, mixing, quality, queries, simhash, similar, suffix_dedup, telephony, token_store, toxicity
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -28,8 +28,8 @@ def test_rejected_documents_go(spark, tiny, stages):
     assert {r["doc_id"] for r in stages[1].collect()} == want and len(want) < stages[0].count()
 
 
-def test_one_of_each_component_stays(stages):
-    want = {r["component_id"] for r in simhash.near_duplicate_classes(stages[1]).collect()}
+def test_one_of_each_class_stays(stages):
+    want = {r["keep_id"] for r in similar.classes(stages[1]).collect()}
     assert sorted(r["doc_id"] for r in stages[2].collect()) == sorted(want)
 
 
@@ -65,8 +65,8 @@ def test_empty_tables(spark):
     some = spark.createDataFrame([(1, "a b c d e f g h i", "en", "s", 17)], docs.schema)
     assert quality.train(docs, labels) is None and toxicity.train(some, labels) is None
     for found in (
-        quality.score(docs, None), quality.keep_good(docs, None), toxicity.score(docs, None), simhash.near_duplicate_classes(docs), simhash.drop_near_duplicates(docs), decontam.report(docs, bench), decontam.decontaminate(docs, bench), mixing.plan(docs), mixing.mix(docs), suffix_dedup.report(docs),
-        telephony.features(telephony.store(docs)), token_store.store_documents(spark, docs, queries.tokenizer_path()),
+        quality.score(docs, None), quality.keep_good(docs, None), toxicity.score(docs, None), simhash.near_duplicate_classes(docs), simhash.drop_near_duplicates(docs), similar.drop_similar(docs), decontam.report(docs, bench), decontam.decontaminate(docs, bench), mixing.plan(docs), mixing.mix(docs), suffix_dedup.report(docs),
+        telephony.features(telephony.store(docs)), token_store.store_documents(spark, docs, queries.vocabulary_path()),
     ):
         assert found.count() == 0
     assert decontam.report(some, bench).first()["n_items"] == 0 and decontam.decontaminate(some, bench).count() == 1

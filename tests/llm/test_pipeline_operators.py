@@ -14,7 +14,8 @@ import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tokenfjord.llm import connect, decontam, mixing, quality, queries, simhash, token_store
+from tokenfjord.llm import connect, decontam, mixing, quality, queries, simhash, similar, token_store
+from tokenfjord.llm.common import row_hash
 
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("fp", T.StringType()), T.StructField("key", T.StringType())])
 ODD = [
@@ -227,14 +228,14 @@ def test_quality_ranks_held_out_documents(spark, small, odd):
 def test_token_store_round_trip(spark, tiny, odd):
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(queries.tokenizer_path())
+    library = Tokenizer.from_file(queries.vocabulary_path())
     for docs in (spark.read.parquet(f"{tiny}/documents.parquet"), odd):
         rows = docs.select("doc_id", "text").collect()
         want = defaultdict(list)
         for r in rows:
-            ids = tokenizer.encode(r["text"] or "", add_special_tokens=False).ids + [2]
+            ids = library.encode(r["text"] or "", add_special_tokens=False).ids + [2]
             want[r["doc_id"]].append((len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
-        got = token_store.store_documents(spark, docs, queries.tokenizer_path()).collect()
+        got = token_store.store_documents(spark, docs, queries.vocabulary_path()).collect()
         assert {k: sorted(v) for k, v in want.items()} == {k: sorted((r["n_tokens"], r["ids_crc32"]) for r in got if r["doc_id"] == k) for k in want}
         start = 0
         for r in sorted(got, key=lambda r: r["start"]):
@@ -242,17 +243,17 @@ def test_token_store_round_trip(spark, tiny, odd):
             start += r["n_tokens"]
         order = [r["doc_id"] for r in sorted(got, key=lambda r: r["start"])]
         assert order == sorted(order, key=lambda x: (x is None, x))
-    assert token_store.store_documents(spark, odd.limit(0), queries.tokenizer_path()).count() == 0
+    assert token_store.store_documents(spark, odd.limit(0), queries.vocabulary_path()).count() == 0
 
 
-def test_encoder_equals_the_tokenizer_on_odd_texts():
+def test_encoder_equals_the_library_on_odd_texts():
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(queries.tokenizer_path())
+    library = Tokenizer.from_file(queries.vocabulary_path())
     many = ["".join(chr(c) for c in range(0x260)), "".join(f"{chr(c)}A {chr(c)}" for c in range(0x240)), "w " * 700_000, "é" * 1_500_000, "Don't STOP''S", "a b ́c é <|endoftext|> x", "\x1c\x1d 12 345", "日本 語😀 ΣΑΣ İ", "", "a\rb\x0bc\x0c d"]
-    encoder = token_store.Encoder(queries.tokenizer_path(), cache=4)
+    encoder = token_store.Encoder(queries.vocabulary_path(), cache=4)
     for t, ids in zip(many * 2, encoder.encode([t.encode() for t in many]) * 2, strict=True):
-        assert ids.tolist() == tokenizer.encode(t, add_special_tokens=False).ids + [2]
+        assert ids.tolist() == library.encode(t, add_special_tokens=False).ids + [2]
 
 
 def test_reader_opens_only_what_is_asked_for():
@@ -277,3 +278,74 @@ def test_reader_opens_only_what_is_asked_for():
 
     frames = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(sink.kept), read_across_frames=True).read()
     assert frames == b"".join(d.astype("<u2").tobytes() for d in docs)
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def brute_shingles(text, size=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+
+
+def test_similar_documents_against_all_pairs(spark, small):
+    """No class joins what no chain of links joins, and at least 0.9 of all links are within a class."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    sets = [brute_shingles(r["text"]) for r in rows]
+    where = defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s:
+            where[x].append(i)
+    pairs = {(a, b) for v in where.values() for k, a in enumerate(v) for b in v[k + 1 :]}
+    linked = [(rows[a]["doc_id"], rows[b]["doc_id"]) for a, b in pairs if jaccard(sets[a], sets[b]) >= 0.8]
+    root = {r["doc_id"]: r["doc_id"] for r in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in linked:
+        root[find(a)] = find(b)
+    kept = {r["doc_id"]: r["keep_id"] for r in similar.classes(docs).collect()}
+    assert len(linked) > 20 and all(find(d) == find(k) for d, k in kept.items())
+    assert np.mean([kept[a] == kept[b] for a, b in linked]) >= 0.9
+    assert {r["doc_id"] for r in similar.drop_similar(docs).collect()} == set(kept.values())
+
+
+def test_edited_copies_and_odd_rows(spark, odd):
+    draw = np.random.default_rng(2)
+    rows, base = [], [f"w{x}" for x in draw.integers(0, 900, 400)]
+    for k in range(300):  # each a chain's link: a few words further from the first
+        words = list(base)
+        for at in draw.integers(0, 400, 3):
+            words[at] = f"new{k}"
+        rows.append((k, " ".join(words)))
+    rows += [(1000 + k, " ".join(f"x{x}" for x in draw.integers(0, 10**6, 60))) for k in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"]: r["keep_id"] for r in similar.classes(docs).collect()}
+    assert set(kept.values()) == {0, *range(1000, 1050)}
+    out = similar.drop_similar(odd)
+    assert out.columns == odd.columns and sorted(r["doc_id"] for r in out.collect() if r["doc_id"] is not None) == [1, 2, 5]
+    assert similar.drop_similar(odd.limit(0)).count() == 0
+
+
+def test_similarity_of_sets():
+    a, b = (np.array(x, np.uint64) for x in ([1, 2, 3, 4], [2, 3, 4, 9]))
+    assert similar.similarity_of(a, b) == 0.6 and similar.similarity_of(a[:0], b[:0]) == 1 and similar.similarity_of(a, a) == 1
+    assert len(similar.variants(np.zeros((2, similar.WORDS), np.uint64))[0]) == 180
+
+
+def test_hubs_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(connect, "HUB_LINKS", 5)
+    links = spark.createDataFrame([(i, 0) for i in range(1, 200)] + [(500, 199), (600, 601)], "a long, b long")
+    got = {r["node"]: r["root"] for r in connect.components(links).collect()}
+    assert got == {i: 0 for i in [*range(200), 500]} | {600: 600, 601: 600}
+
+
+def test_rows_that_differ_in_a_map_only_stay(spark):
+    rows = spark.createDataFrame([(1, "a b c d e f", {"k": 1}, [{"x": 1}]), (1, "a b c d e f", {"k": 2}, [{"x": 1}]), (1, "a b c d e f", {"k": 2}, [{"x": 2}])], "doc_id long, text string, m map<string,int>, n array<map<string,int>>")
+    keys = [r[0] for r in rows.select(row_hash(rows)).collect()]
+    assert len(set(keys)) == 3

@@ -45,8 +45,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def row_hash(df: DataFrame) -> Column:
-    """64-bit key of a documents row; with doc_id it tells different rows apart."""
-    return F.xxhash64(*[F.col(f"`{c}`") for c, t in df.dtypes if not t.startswith("map")])
+    """64-bit key of a documents row; with doc_id it tells different rows apart.
+
+    Maps count by their entries in order of the keys; columns with maps inside
+    by their JSON.
+    """
+
+    def hashable(c: str, kind: str) -> Column:
+        column = F.col(f"`{c}`")
+        if "map<" not in kind:
+            return column
+        return F.array_sort(F.map_entries(column)) if kind.rindex("map<") == 0 else F.to_json(F.struct(column))
+
+    return F.xxhash64(*[hashable(c, t) for c, t in df.dtypes])
 
 
 def texts(column: pa.Array) -> list[bytes]:

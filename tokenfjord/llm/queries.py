@@ -10,7 +10,7 @@ from . import decontam, mixing, quality, simhash, suffix_dedup, telephony, token
 from .common import read_table
 
 
-def tokenizer_path() -> str:
+def vocabulary_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
@@ -29,7 +29,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_store.store_documents(spark, read_table(spark, sf_dir, "documents"), tokenizer_path())
+    return token_store.store_documents(spark, read_table(spark, sf_dir, "documents"), vocabulary_path())
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,8 +85,10 @@ def variants(fps: DataFrame) -> DataFrame:
     return fps.select(F.explode(F.array(*keys)).alias("variant"), "fp")
 
 
-def _near(one: np.ndarray, many: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(one ^ many) <= MOST_BITS
+def _near(one: np.ndarray, many: np.ndarray, most: int = MOST_BITS) -> np.ndarray:
+    """Fingerprints of ``many`` within ``most`` bits; wide ones have a row of words each."""
+    bits = np.bitwise_count(one ^ many)
+    return (bits if bits.ndim == 1 else bits.sum(1, dtype=np.uint16)) <= most
 
 
 def _walk(fps: np.ndarray) -> list[tuple[int, int]]:
@@ -172,8 +174,8 @@ def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def links(fps: DataFrame) -> DataFrame:
     """(a, b): links between distinct fingerprints that connect all within four bits."""
-    index = variants(fps.select("fp").distinct())
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    index = variants(fps.select("fp").repartition(n, "fp").distinct())  # all tasks share the explosion
     met = index.repartition(n, "variant").sortWithinPartitions("variant")
     return met.mapInArrow(_link_batches, "a long, b long").distinct()
 
@@ -202,14 +204,20 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     return classes(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _key(c: str) -> Column:
+    return F.coalesce(F.col(c).cast("long"), F.lit(0))  # the hash tells a null from a zero
+
+
+def keep_first(docs: DataFrame, labelled: DataFrame) -> DataFrame:
+    """The rows of docs that ``labelled`` (keep_id, keep_hash) names, one of those equal in every column."""
+    keep = labelled.select(_key("keep_id").alias("k_id"), F.col("keep_hash").alias("k_hash")).distinct()
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _key("doc_id").alias("k_id"), row_hash(docs).alias("k_hash"))
+    return packed.join(keep, ["k_id", "k_hash"], "left_semi").dropDuplicates(["k_id", "k_hash"]).select("row.*")
+
+
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The documents of which one of each component stays, all columns kept.
+    """The documents of which one of each component of the 64-bit links stays, all columns kept.
 
     Of rows that are equal in every column one stays, too.
     """
-    def no_null(c: str) -> Column:
-        return F.coalesce(F.col(c).cast("long"), F.lit(0))  # the hash tells a null from a zero
-
-    keep = classes(docs).select(no_null("keep_id").alias("k_id"), F.col("keep_hash").alias("k_hash")).distinct()
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), no_null("doc_id").alias("k_id"), row_hash(docs).alias("k_hash"))
-    return packed.join(keep, ["k_id", "k_hash"], "left_semi").dropDuplicates(["k_id", "k_hash"]).select("row.*")
+    return keep_first(docs, classes(docs))

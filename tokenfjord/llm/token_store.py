@@ -437,11 +437,11 @@ class Reader:
 MANIFEST = "file_no int, path string, n_docs long, n_ids long, n_bytes long"
 
 
-def _writer(path: str, tokenizer: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _writer(path: str, vocabulary: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, writer, coder = TaskContext.get(), None, encoder(tokenizer)
+        task, writer, coder = TaskContext.get(), None, encoder(vocabulary)
         store, root = fs.FileSystem.from_uri(path)
         final = f"{root}/part-{task.partitionId():06d}.zst"
         own = f"{root}/.part-{task.partitionId():06d}-{task.taskAttemptId()}"
@@ -458,7 +458,7 @@ def _writer(path: str, tokenizer: str, end_id: int) -> Callable[[Iterator[pa.Rec
     return write
 
 
-def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> DataFrame:
+def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID) -> DataFrame:
     """Write the ids of docs below ``path`` in ascending doc_id order; the manifest, one row per file."""
     spark = docs.sparkSession
     store, root = fs.FileSystem.from_uri(path)
@@ -468,7 +468,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID
     files = max(spark.sparkContext.defaultParallelism, min(-(-stored // FILE_BYTES), MOST_FILES))
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
     ranged = narrow.repartitionByRange(files, *order).sortWithinPartitions(*order)
-    return materialize(ranged.mapInArrow(_writer(path, tokenizer, end_id), MANIFEST), "token-manifest")
+    return materialize(ranged.mapInArrow(_writer(path, vocabulary, end_id), MANIFEST), "token-manifest")
 
 
 def _read_files(scheme: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -498,7 +498,7 @@ def read_store(manifest: DataFrame, path: str) -> DataFrame:
     return files.repartition(parts, "file_no").mapInArrow(_read_files(path), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def store_documents(spark: SparkSession, docs: DataFrame, tokenizer: str, path: str | None = None) -> DataFrame:
+def store_documents(spark: SparkSession, docs: DataFrame, vocabulary: str, path: str | None = None) -> DataFrame:
     """Write docs to a store and return what reading it back gives."""
     path = path or scratch(spark, "token-store")
-    return read_store(write_store(docs, path, tokenizer), path)
+    return read_store(write_store(docs, path, vocabulary), path)
