@@ -15,7 +15,7 @@ from .tokens import BEGINS, ENDS, Kind, Token
 
 @dataclass(frozen=True)
 class Options:
-    """Switches of the tokenizer; the names are those of keyword arguments everywhere."""
+    """Switches of the engine; the names are those of keyword arguments everywhere."""
 
     convert_numbers: bool = False
     convert_measurements: bool = False
