@@ -1,16 +1,24 @@
 """DataFrames of tokens, files, streams and the SQL surface."""
 
+import hashlib
 import json
+import os
+import shutil
+import subprocess
+import sys
 import time
+from collections import Counter
+from pathlib import Path
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from tokenfjord import sql
-from tokenfjord.operators import abbreviations, engine, frames
+from tokenfjord import mark_paragraphs, session, sql
+from tokenfjord.operators import abbreviations, engine, frames, spacing, tokens
 from tokenfjord.plans import queries as plans
+from tokenfjord.plans import rules
 from tokenfjord.sources import files
 from tokenfjord.streaming import texts as streams
 
@@ -111,14 +119,17 @@ def test_event_counts_have_a_watermark(spark, tmp_path):
     assert [(r["event_type"], r["n"]) for r in spark.table("event_out").collect()] == [("a", 2)]
 
 
-@pytest.mark.parametrize("name", sorted(plans.ORACLES))
+QUERIES, ORACLES = plans.QUERIES | rules.QUERIES, plans.ORACLES | rules.ORACLES
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_queries_equal_their_sql(spark, tiny, name):
     con = duckdb.connect()
     con.execute("SET TimeZone = 'UTC'")
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tiny}/{t}.parquet'")
-    want = con.sql(plans.ORACLES[name])
-    got = plans.QUERIES[name](spark, tiny)
+    want = con.sql(ORACLES[name])
+    got = QUERIES[name](spark, tiny)
     assert sorted(got.columns) == sorted(want.columns)
     columns = sorted(got.columns)
     plain = lambda rows: sorted(tuple(str(x) for x in r) for r in rows)
@@ -144,4 +155,75 @@ def test_coverage_names_what_exists():
     here = Path(__file__).resolve().parents[1]
     tests = "".join(p.read_text(encoding="utf-8") for p in (here / "tests").glob("*.py"))
     for name in re.findall(r"`([a-z_]+)`", "".join(line.rsplit("|", 2)[1] for line in (here / "COVERAGE.md").read_text(encoding="utf-8").splitlines()[3:] if line.startswith("|"))):
-        assert name in plans.QUERIES or f"def {name}(" in tests, name
+        assert name in QUERIES or f"def {name}(" in tests, name
+
+
+def test_whole_documents_equal_a_loop_over_the_engine(spark, tiny):
+    """The queries that have no SQL, text by text in plain Python."""
+    texts = [(r["doc_id"], r["lang"], r["source"], r["text"]) for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()]
+    kinds, by_lang, sources, sentences, respaced, grouped, lexed = Counter(), Counter(), {}, [], [], [], Counter()
+    for doc_id, lang, source, text in texts:
+        found = engine.tokenize(text)
+        for t in found:
+            if t.txt:
+                name = tokens.kind_name(t.kind)
+                kinds[lang, name] += 1
+                for key in ((lang, name), (lang, None), (None, None)):
+                    by_lang[key] += 1
+                    sources.setdefault(key, set()).add(source)
+        split = engine.split_into_sentences(text)
+        if split:
+            sentences.append((doc_id, len(split), max(map(len, split))))
+        respaced.append((doc_id, hashlib.md5(spacing.detokenize(found).encode()).hexdigest()))
+        paragraphs = engine.paragraphs(engine.tokenize(mark_paragraphs(text)))
+        if paragraphs:
+            grouped.append((doc_id, len(paragraphs), sum(map(len, paragraphs))))
+        lexed.update(tokens.kind_name(t.kind) for t in engine.parse_tokens(text) if t.kind < 10000)
+
+    def rows(name):
+        return sorted(map(tuple, QUERIES[name](spark, tiny).collect()), key=str)
+
+    assert rows("kind_histogram") == sorted(((*k, n) for k, n in kinds.items()), key=str)
+    assert rows("kind_rollup") == sorted(((*k, n, len(sources[k])) for k, n in by_lang.items()), key=str)
+    assert rows("document_sentences") == sorted(sentences, key=str)
+    assert rows("documents_respaced") == sorted(respaced, key=str)
+    assert rows("document_paragraphs") == sorted(grouped, key=str)
+    assert {k: n for k, n in rows("lexed_kinds") if k in lexed} == lexed
+
+
+def test_sql_options(spark):
+    sql.register(spark)
+    found = spark.sql("SELECT t.kind_name, t.txt FROM VALUES ('3,500.5 USD') d(x), LATERAL tokenize(d.x, 'convert_numbers, no_with_annotation') t").collect()
+    assert [tuple(r) for r in found] == [("NUMBER", "3.500,5"), ("WORD", "USD")]
+    with pytest.raises(Exception, match="no such options"):
+        spark.sql("SELECT t.* FROM VALUES ('x') d(x), LATERAL sentences(d.x, 'no_such') t").collect()
+
+
+def test_a_local_folder_is_for_one_process_only():
+    class Fake:
+        def __init__(self, master):
+            self.sparkContext = self.conf = self
+            self.master = master
+
+        def get(self, name, default=None):
+            return default
+
+        def getConf(self):  # noqa: N802
+            return self
+
+    assert session.shared_dir(Fake("local")) == session.shared_dir(Fake("local[*]")) == session.LOCAL_CHECKPOINTS
+    for master in ("local-cluster[2,1,1024]", "spark://host:7077"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            session.shared_dir(Fake(master))
+
+
+def test_only_absent_folders_are_passed_over(tmp_path):
+    """The entry imports without the training-data folder, and fails if that folder is broken."""
+    here = Path(__file__).resolve().parents[1]
+    shutil.copytree(here / "tokenfjord", tmp_path / "tokenfjord", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(here / "__spark_entry__.py", tmp_path)
+    run = [sys.executable, "-c", "import __spark_entry__ as e; print(any(n.startswith('op') for n in e.queries()))"]
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    assert subprocess.run(run, cwd=tmp_path, env=env, capture_output=True, text=True, check=True).stdout.strip() == "False"
+    (tmp_path / "corpus_pipeline.py").write_text("import a_module_that_is_missing\n")
+    assert subprocess.run(run, cwd=tmp_path, env=env, capture_output=True, check=False).returncode != 0

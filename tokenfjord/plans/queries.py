@@ -370,13 +370,12 @@ def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.lines(texts, "json", keys=["n_nationkey"]).select("n_nationkey", "value")
 
 
-@query("SELECT conv_id, CAST(count(*) AS BIGINT) AS n_chunks FROM conversations WHERE text IS NOT NULL GROUP BY conv_id")
+@query(f"SELECT conv_id, CAST(count(*) AS BIGINT) AS n_chunks, CAST(sum(len({_WORDS})) AS BIGINT) AS n_words FROM conversations WHERE text IS NOT NULL GROUP BY conv_id")
 def chunked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns of a conversation as the chunks of one document; every token keeps its origin."""
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    whole = frames.chunked(turns, ["conv_id"], "turn", "text")
-    kept = frames.tokens(whole, keys=["conv_id"], fields=("kind",), chunks=True).select("conv_id").distinct()
-    return whole.select("conv_id", F.size("text").cast("long").alias("n_chunks")).join(kept, "conv_id", "left").select("conv_id", "n_chunks")
+    """Turns of a conversation as the chunks of one document, and the words that they are cut into."""
+    whole = frames.chunked(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), ["conv_id"], "turn", "text")
+    raw = frames.raw_tokens(whole.withColumn("n_chunks", F.size("text").cast("long")), keys=["conv_id", "n_chunks"])
+    return raw.groupBy("conv_id", "n_chunks").agg(F.count_if(F.col("txt") != "").alias("n_words"))
 
 
 @query("SELECT lang, CAST(sum(len(" + _WORDS + ")) AS BIGINT) AS n_words FROM documents GROUP BY lang")
@@ -416,7 +415,7 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def kind_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = frames.tokens(table(spark, sf_dir, "documents"), keys=["source", "lang"], fields=("kind_name",))
-    return rows.rollup("lang", "kind_name").agg(F.count("*").alias("n"), F.approx_count_distinct("source").alias("sources"))
+    return rows.rollup("lang", "kind_name").agg(F.count("*").alias("n"), F.countDistinct("source").alias("sources"))
 
 
 @query()
