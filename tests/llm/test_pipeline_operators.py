@@ -187,13 +187,13 @@ def brute_hits(text, items):
 SHORT = [(900, "the of"), (901, "Schnell!"), (None, "a b c d"), (902, ""), (903, None), (904, "b c d e f g h i j k"), (905, "c d")]
 
 
-@pytest.mark.parametrize("most_words", [10, 1_000_000])
-def test_decontamination_matches_brute_force(spark, tiny, odd, most_words):
+@pytest.mark.parametrize(("most_words", "most_bytes"), [(10, 1), (10, 1 << 30), (1_000_000, 1 << 30)])
+def test_decontamination_matches_brute_force(spark, tiny, odd, most_words, most_bytes):
     bench = spark.read.parquet(f"{tiny}/benchmark.parquet")
     for docs, items in ((spark.read.parquet(f"{tiny}/documents.parquet"), bench.where("item_id < 12")), (odd, spark.createDataFrame(SHORT, "item_id long, text string"))):
         plain = [tuple(r) for r in items.select("item_id", "text").collect()]
         want = sorted(((r[0], *brute_hits(r[1], plain)) for r in docs.select("doc_id", "text").collect()), key=str)
-        got = sorted(map(tuple, decontam.report(docs, items, most_words=most_words if docs is odd else most_words * 30).collect()), key=str)
+        got = sorted(map(tuple, decontam.report(docs, items, most_words=most_words if docs is odd else most_words * 30, most_bytes=most_bytes).collect()), key=str)
         assert got == want
 
 

@@ -68,8 +68,9 @@ def test_decontamination_does_not_depend_on_the_number_of_automata(spark):
         (5, f"b0 b1 b2 b3 {item[0]} b4 b5 b6 b7 {filler}"),
     ]
     docs = spark.createDataFrame([(d, t, len(t or "")) for d, t in rows], "doc_id long, text string, n_chars long")
-    one, many = (sorted(map(tuple, decontam.decontaminate(docs, bench, most_words=n).collect()), key=str) for n in (1000, 10))
-    assert many == one and len(one) == 6
+    ways = ((1000, 1 << 20), (10, 1 << 30), (10, 1))  # one automaton, several in one pass, several passes
+    one, many, more = (sorted(map(tuple, decontam.decontaminate(docs, bench, most_words=n, most_bytes=b).collect()), key=str) for n, b in ways)
+    assert more == many == one and len(one) == 6
     assert (5, f"b0 b1 b2 b3  b4 b5 b6 b7 {filler}") in {r[:2] for r in one}
     few, more = (sorted(r[0] for r in decontam.decontaminate(docs.where("doc_id = 3"), bench, most_items=9, most_words=n).collect()) for n in (1000, 10))
     assert few == more == []
@@ -112,3 +113,13 @@ def test_remembered_alignments_equal_new_ones():
     for tree in trees * 2:
         assert reference.align(tree) == wrapper.align(trees[5], tree)
     assert wrapper._unpack(wrapper._pack(trees[6])) == trees[6] and wrapper._unpack("") == []
+
+
+def test_packed_automata():
+    items = [("a", b"one two three one two four".split()), ("b", b"two four".split()), ("c", [])]
+    grown = decontam.Automaton(items, window=3)
+    read = decontam.Automaton.unpack(grown.pack())
+    for text in (b"x one two three one y", b"two four", b"one two four two four", b"", b"four two"):
+        a, b = grown.hits(text.split()), read.hits(text.split())
+        assert a[0].tolist() == b[0].tolist() and a[1] == b[1]
+    assert read.hits(b"z two four z".split())[1] == {"b"} and read.hits(b"one two three".split())[1] == {"a"}
