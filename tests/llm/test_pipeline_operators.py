@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokenfjord.llm import connect, decontam, mixing, quality, queries, simhash, similar, token_store
+from tokenfjord.llm import common
 from tokenfjord.llm.common import row_hash
 
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("fp", T.StringType()), T.StructField("key", T.StringType())])
@@ -349,3 +350,12 @@ def test_rows_that_differ_in_a_map_only_stay(spark):
     rows = spark.createDataFrame([(1, "a b c d e f", {"k": 1}, [{"x": 1}]), (1, "a b c d e f", {"k": 2}, [{"x": 1}]), (1, "a b c d e f", {"k": 2}, [{"x": 2}])], "doc_id long, text string, m map<string,int>, n array<map<string,int>>")
     keys = [r[0] for r in rows.select(row_hash(rows)).collect()]
     assert len(set(keys)) == 3
+
+
+def test_tables_of_an_application_can_be_deleted(spark, monkeypatch):
+    monkeypatch.setattr(common, "own_folder", lambda spark: f"{common.shared_dir(spark)}/to-be-deleted")
+    kept = common.materialize(spark.range(3).toDF("id"), "some")
+    assert kept.count() == 3
+    common.clean(spark)
+    with pytest.raises(Exception):
+        spark.read.parquet(f"{common.shared_dir(spark)}/to-be-deleted/*").count()

@@ -1,8 +1,11 @@
 """Operators see all of their input: no sample, no cap, no single page for many."""
 
+import math
+
+import numpy as np
 import pytest
 
-from tokenfjord.llm import decontam, quality, wrapper
+from tokenfjord.llm import decontam, quality, toxicity, wrapper
 
 
 @pytest.mark.parametrize("n", [4096, 4097, 20_020])
@@ -123,3 +126,64 @@ def test_packed_automata():
         a, b = grown.hits(text.split()), read.hits(text.split())
         assert a[0].tolist() == b[0].tolist() and a[1] == b[1]
     assert read.hits(b"z two four z".split())[1] == {"b"} and read.hits(b"one two three".split())[1] == {"a"}
+
+
+def test_label_model_against_plain_loops():
+    draw = np.random.default_rng(4)
+    true = draw.random(150) < 0.3
+    fired = np.array([[draw.random() < (0.8 if t else 0.1) for _ in range(4)] for t in true], float)
+    fired = np.column_stack([fired, fired[:, 0]])  # a copy of a voter
+    label = true ^ (draw.random(150) < 0.1)
+    n, m = fired.shape
+    start = [[(sum(fired[i][v] for i in range(n) if label[i] == c) + 0.5) / (sum(label[i] == c for i in range(n)) + 1) for v in range(m)] for c in (0, 1)]
+    balance = sum(map(bool, label)) / n
+    post = [float(x) for x in label]
+    for _ in range(toxicity.ROUNDS):
+        rate = []
+        for c in (0, 1):
+            weight = [p if c else 1 - p for p in post]
+            rate.append([min(1 - 1e-5, max(1e-5, (sum(w * fired[i][v] for i, w in enumerate(weight)) + toxicity.PRIOR * start[c][v]) / (sum(weight) + toxicity.PRIOR))) for v in range(m)])
+        left = [[fired[i][v] - post[i] * rate[1][v] - (1 - post[i]) * rate[0][v] for v in range(m)] for i in range(n)]
+        spread = [math.sqrt(sum(r[v] ** 2 for r in left) / n) + 1e-6 for v in range(m)]
+        share = []
+        for v in range(m):
+            others = [abs(sum(r[v] * r[u] for r in left) / n / spread[v] / spread[u]) for u in range(m) if u != v]
+            share.append(1 / (1 + sum(x for x in others if x > toxicity.CORRELATED)))
+        post = []
+        for i in range(n):
+            gain = math.log(balance / (1 - balance))
+            for v in range(m):
+                f = fired[i][v]
+                gain += share[v] * (f * math.log(rate[1][v] / rate[0][v]) + (1 - f) * math.log((1 - rate[1][v]) / (1 - rate[0][v])))
+            post.append(1 / (1 + math.exp(-max(-30, min(30, gain)))))
+    got = toxicity.label_model(fired, label)
+    assert np.allclose(got["posterior"], post) and np.allclose(got["rate"], rate) and np.allclose(got["share"], share)
+    assert got["share"][0] < 0.6 < got["share"][1] and ((got["posterior"] > 0.5) == true).mean() > 0.85
+
+
+def test_votes_by_hand():
+    counts = np.array([[3, 0, 1000], [1, 1, 100], [0, 0, 50], [1, 0, 10]], float)
+    first = toxicity.votes(counts)
+    assert first[:, 0].tolist() == [1, 1, 0, 1] and first[:, 1].tolist() == [0, 1, 0, 0]
+    assert first[1, 2:8].tolist() == [1, 1, 1, 1, 1, 1] and not first[0, 2:8].any() and not first[3, 2:8].any()
+    assert first[:, 8:].tolist() == [[1, 1], [0, 0], [0, 0], [0, 0]]
+
+
+def test_pair_weights_are_the_best_ones():
+    """Newton's method on the same pairs, in plain arithmetic, ends at the same weights."""
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=(300, 3))
+    good = x @ np.array([1.0, -0.5, 0.0]) + draw.normal(size=300) > 0.3
+    model = quality.fit_pairs(x, good)
+    z = (x - x.mean(0)) / (x.std(0) + 1e-9)
+    again = np.random.default_rng(7)
+    up, down = z[good], z[~good]
+    pairs = up[again.integers(0, len(up), quality.PAIRS)] - down[again.integers(0, len(down), quality.PAIRS)]
+    w = np.zeros(3)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-pairs @ w))
+        gradient = pairs.T @ (1 - p) / len(pairs) - quality.RIDGE * w
+        hessian = (pairs * (p * (1 - p))[:, None]).T @ pairs / len(pairs) + quality.RIDGE * np.eye(3)
+        w = w + np.linalg.solve(hessian, gradient)
+    assert np.allclose(model["w"], w, atol=0.01)
+    assert abs((z @ model["w"] < model["cut"]).mean() - (~good).mean()) < 0.01

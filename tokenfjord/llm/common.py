@@ -13,9 +13,24 @@ from pyspark.sql import functions as F
 
 from ..session import shared_dir
 
+
+def own_folder(spark: SparkSession) -> str:
+    """The folder below the shared one that holds this application's tables."""
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path for a table of this application."""
+    return f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all tables that this application has written between its stages.
+
+    To be called when the results have been saved elsewhere: results are read
+    from these tables, and op4's files are among them unless a path was given.
+    """
+    remove(spark, own_folder(spark))
 
 
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:

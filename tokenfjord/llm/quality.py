@@ -7,7 +7,8 @@ the training utilities: as large a share lies below it as the labels mark bad.
 A score is the logistic function of the distance to the cut.
 
 The fit uses at most ``TRAIN_ROWS`` labelled rows, chosen by a hash of their
-doc_id; that is its documented bound. Every document is scored, whole.
+doc_id, and ``PAIRS`` pairs drawn from them with a fixed seed; these are its
+documented bounds. Every document is scored, whole.
 
 Defined results: null and blank texts have zero features and a score like any
 other; conflicting labels of a doc_id count by their mean; rows without a

@@ -1,12 +1,14 @@
 """Toxicity by weak supervision.
 
 Many voters look at a text: each entry of a lexicon (whole words, and word
-beginnings that carry the meaning in other languages) and patterns of how many
-entries occur and how densely. A generative label model, fitted by expectation
-maximisation, estimates how often each voter fires on toxic and on other texts;
-the correlations that are left between voters given the label are measured from
-the residuals, and correlated voters share one vote. A linear classifier is then
-trained on the posterior labels and scores every document.
+beginnings that carry the meaning in other languages) votes where it is dense
+enough, and patterns vote on the density of all entries and on repeats of one.
+A generative label model estimates by expectation maximisation how often each
+voter fires on toxic and on other texts; the correlations that are left between
+voters given the class are measured from the residuals, and correlated voters
+share one vote. The given labels say where the rates start and no more: they
+have no vote in a posterior. A linear classifier is trained on the posterior
+labels and scores every document.
 
 The lexicon is read off at most ``TRAIN_ROWS`` labelled rows, chosen by a hash of
 their doc_id, and so is the fit; that is their documented bound. Every document
@@ -39,10 +41,10 @@ BEGINNINGS = range(3, 9)
 LEAST_TEXTS = {"word": 5, "beginning": 2}
 LEAST_ODDS = 12.0
 ROUNDS = 40
-#: Texts that a voter's start counts for.
-PRIOR = 50.0
-#: Votes each text's lexicon hits are turned into: total and distinct hits at or above.
-PATTERNS = ((1, 1), (2, 1), (3, 2), (5, 3))
+#: Texts that a voter's start counts for, and the correlation from which on voters share a vote.
+PRIOR, CORRELATED = 500.0, 0.3
+#: Hits a word from which on an entry votes, and those of all entries at which patterns do; hits of one entry that make a repeat.
+DENSE, DENSITIES, REPEATS = 0.002, (0.004, 0.006, 0.008, 0.01, 0.013, 0.017), (2, 3)
 _LETTERS = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -93,11 +95,10 @@ class Voters:
 
 def votes(counts: np.ndarray) -> np.ndarray:
     """1 where a voter fires: each entry, then the patterns."""
-    hits = counts[:, :-1]
-    total, distinct = hits.sum(1), (hits > 0).sum(1)
-    patterns = [(total >= a) & (distinct >= b) for a, b in PATTERNS]
-    dense = total / counts[:, -1] >= 0.005
-    return np.column_stack([hits > 0, *patterns, dense & (total >= 2)]).astype(float)
+    hits, size = counts[:, :-1], counts[:, -1]
+    total, most = hits.sum(1), hits.max(1, initial=0)
+    dense = [(total >= 2) & (total >= least * size) for least in DENSITIES]
+    return np.column_stack([(hits > 0) & (hits >= DENSE * size[:, None]), *dense, *(most >= n for n in REPEATS)]).astype(float)
 
 
 def inputs(counts: np.ndarray) -> np.ndarray:
@@ -110,25 +111,21 @@ def inputs(counts: np.ndarray) -> np.ndarray:
 def label_model(fired: np.ndarray, label: np.ndarray) -> dict:
     """Rates of firing by class, shares of correlated voters, and the posterior of each text.
 
-    The given label is one more voter, whose errors are estimated like any
-    other's; it alone keeps a full vote. Rates start from the labels, and
-    expectation maximisation moves them on all texts with that start as a prior.
+    Rates start from the labels, and expectation maximisation moves them on all
+    texts with that start as a prior; the posterior comes from the votes alone.
     """
-    every = np.column_stack([fired, label])
-    start = np.array([(every[label == c].sum(0) + 0.5) / ((label == c).sum() + 1) for c in (0, 1)])
-    start[:, -1] = (0.02, 0.9)
-    rate, share = start.copy(), np.ones(every.shape[1])
-    balance, posterior, prior = float(label.mean()), label.astype(float), PRIOR
+    start = np.array([(fired[label == c].sum(0) + 0.5) / ((label == c).sum() + 1) for c in (0, 1)])
+    rate, share = start.copy(), np.ones(fired.shape[1])
+    balance, posterior = float(label.mean()), label.astype(float)
     for _ in range(ROUNDS):
         weights = np.stack([1 - posterior, posterior])
-        rate = np.clip((weights @ every + prior * start) / (weights.sum(1, keepdims=True) + prior), 1e-5, 1 - 1e-5)
-        residual = every - posterior[:, None] * rate[1] - (1 - posterior[:, None]) * rate[0]
+        rate = np.clip((weights @ fired + PRIOR * start) / (weights.sum(1, keepdims=True) + PRIOR), 1e-5, 1 - 1e-5)
+        residual = fired - posterior[:, None] * rate[1] - (1 - posterior[:, None]) * rate[0]
         spread = np.sqrt((residual**2).mean(0)) + 1e-6
-        correlation = np.abs(residual.T @ residual / len(every) / np.outer(spread, spread))
+        correlation = np.abs(residual.T @ residual / len(fired) / np.outer(spread, spread))
         np.fill_diagonal(correlation, 0)
-        share = 1 / (1 + np.where(correlation > 0.1, correlation, 0).sum(1))
-        share[-1] = 1
-        log = [share * (every * np.log(rate[c]) + (1 - every) * np.log(1 - rate[c])) for c in (0, 1)]
+        share = 1 / (1 + np.where(correlation > CORRELATED, correlation, 0).sum(1))
+        log = [share * (fired * np.log(rate[c]) + (1 - fired) * np.log(1 - rate[c])) for c in (0, 1)]
         gain = (log[1] - log[0]).sum(1) + np.log(balance / (1 - balance))
         posterior = 1 / (1 + np.exp(-np.clip(gain, -30, 30)))
     return {"rate": rate, "share": share, "balance": balance, "posterior": posterior}
