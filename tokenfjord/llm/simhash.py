@@ -175,7 +175,7 @@ def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def links(fps: DataFrame) -> DataFrame:
     """(a, b): links between distinct fingerprints that connect all within four bits."""
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    index = variants(fps.select("fp").repartition(n, "fp").distinct())  # all tasks share the explosion
+    index = variants(fps.select("fp").distinct().repartition(n, "fp"))  # all tasks share the explosion
     met = index.repartition(n, "variant").sortWithinPartitions("variant")
     return met.mapInArrow(_link_batches, "a long, b long").distinct()
 
