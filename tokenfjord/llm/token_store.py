@@ -46,12 +46,12 @@ from .common import materialize, pieces, scratch, texts
 END_ID = 2
 FRAME_BYTES = 1 << 18
 LEVEL = 3
-#: Pre-tokens whose ids a worker remembers; with their keys and ids they take at most about 150 MB.
-CACHE = 1_000_000
+#: Pre-tokens whose ids a worker remembers; with their keys and ids they take at most about 80 MB.
+CACHE = 500_000
 #: Characters of a pre-token that is remembered: three words of six, ten bits each.
 KEY_CHARS, KEY_BITS, KEY_WORD = 18, 10, 6
 #: Characters cut into pre-tokens at once, about.
-PART_CHARS = 1 << 19
+PART_CHARS = 1 << 17
 #: Input as stored that one file takes, about, while that makes at most MOST_FILES; beyond, files grow.
 FILE_BYTES, MOST_FILES = 16 << 20, 1 << 20
 _SEEK_MAGIC, _SKIP_SEEK, _SKIP_DOCS = 0x8F92EAB1, 0x184D2A5E, 0x184D2A50
