@@ -31,8 +31,14 @@ ENDING_WORD = "'²³"
 
 #: Spacing classes of tokens.
 TP_LEFT, TP_CENTER, TP_RIGHT, TP_NONE, TP_WORD = 1, 2, 3, 4, 5
-#: Whether a space stands between a token of the row's class and one of the column's, both in the order above.
-SPACED = ("01000", "11111", "11001", "01000", "11001")
+#: By a token's class, the classes of a next token that a space stands before.
+SPACE_BEFORE = {
+    TP_LEFT: {TP_CENTER},
+    TP_CENTER: {TP_LEFT, TP_CENTER, TP_RIGHT, TP_NONE, TP_WORD},
+    TP_RIGHT: {TP_LEFT, TP_CENTER, TP_WORD},
+    TP_NONE: {TP_CENTER},
+    TP_WORD: {TP_LEFT, TP_CENTER, TP_WORD},
+}
 
 # --- Fixed values: words and units --------------------------------------------
 
@@ -102,7 +108,8 @@ def in_base_unit(value: float, unit: str) -> tuple[str, float]:
 
 URI_STARTS = tuple(f"{s}://" for s in "http https file ftp ssh sftp smb git git+ssh svn svn+ssh imap rtmp rtsp telnet udp vnc irc nntp wss ws xmpp mtqp afp nfs mms tftp ldap".split())
 GENERIC_DOMAINS = "com org net edu gov mil int arpa biz info xyz online site tech top space news pro club loan win vip icu app blog shop work ltd mobi live store gdn art events".split()
-#: Country endings beside, and without, those of the ISO 3166 list.
+#: Country endings beside those of the ISO 3166 list, and ISO codes that are no ending here: territories that
+#: never took up theirs (or take up another's, as gb does), and kr, which as "kr." is the currency in this language.
 OTHER_DOMAINS = ("ac", "eu", "uk")
 NO_DOMAINS = ("bl", "bq", "bv", "eh", "gb", "kr", "mf", "sj", "um")
 ELEMENTS = (

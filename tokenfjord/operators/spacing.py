@@ -28,7 +28,7 @@ _PARTS = re.compile(
 
 
 def spaced(last: int, this: int) -> bool:
-    return C.SPACED[last - 1][this - 1] == "1"
+    return this in C.SPACE_BEFORE[last]
 
 
 def detokenize(tokens: Iterable[Token], normalize: bool = False) -> str:
