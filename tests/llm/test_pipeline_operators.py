@@ -359,3 +359,15 @@ def test_tables_of_an_application_can_be_deleted(spark, monkeypatch):
     common.clean(spark)
     with pytest.raises(Exception):
         spark.read.parquet(f"{common.shared_dir(spark)}/to-be-deleted/*").count()
+
+
+def test_decontamination_sql_equals_brute_force(odd):
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.execute("create table benchmark (item_id bigint, text varchar)")
+    rows = [(r[0], r[1]) for r in ODD] + [(20, "the of the OF x a b c d e f g h i j k l c d"), (21, "Schnell! c d")]
+    con.executemany("insert into documents values (?, ?)", rows)
+    con.executemany("insert into benchmark values (?, ?)", SHORT)
+    columns = "doc_id, n_words, n_hit, n_items, items_sha256, contaminated"
+    got = con.sql(f"select {columns} from ({queries.oracle_sql()['op7_decontaminate']})").fetchall()
+    assert sorted(got, key=str) == sorted(((d, *brute_hits(t, SHORT)) for d, t in rows), key=str)

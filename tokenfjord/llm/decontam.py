@@ -416,3 +416,23 @@ def _cut(batch: pa.RecordBatch, hits: list[tuple[np.ndarray, int]], coverage: fl
 
 def digest(items: set[str]) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_SQL_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_SQL_NEXT = ", ".join(f"lead(w, {k}) OVER (PARTITION BY r ORDER BY p) AS w{k}" for k in range(1, WINDOW))
+#: Words apart by spaces, for each length of a window; null where the text ends before.
+_SQL_GRAMS = " ".join(f"WHEN {n} THEN " + " || ' ' || ".join(["w", *(f"w{k}" for k in range(1, n))]) for n in range(1, WINDOW + 1))
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_SQL_WORDS} AS words FROM documents),
+i AS (SELECT row_number() OVER () AS r, coalesce(CAST(item_id AS VARCHAR), 'null') AS item, {_SQL_WORDS} AS words FROM benchmark),
+dw AS (SELECT *, {_SQL_NEXT} FROM (SELECT r, unnest(words) AS w, unnest(range(len(words))) AS p FROM d)),
+iw AS (SELECT *, {_SQL_NEXT} FROM (SELECT r, unnest(words) AS w, unnest(range(len(words))) AS p FROM i)),
+win AS (SELECT DISTINCT item, n, CASE n {_SQL_GRAMS} END AS g FROM iw JOIN (SELECT r, item, least({WINDOW}, len(words)) AS n FROM i) USING (r)),
+hit AS (SELECT DISTINCT r, p, n, item FROM (SELECT r, p, n, CASE n {_SQL_GRAMS} END AS g FROM dw, (SELECT DISTINCT n FROM win)) JOIN win USING (n, g)),
+cov AS (SELECT r, count(DISTINCT w) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS w FROM (SELECT DISTINCT r, p, n FROM hit)) GROUP BY r),
+named AS (SELECT r, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS digest FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       coalesce(digest, sha256('')) AS items_sha256, coalesce(n_items, 0) >= {ITEMS} AS contaminated
+FROM d LEFT JOIN cov USING (r) LEFT JOIN named USING (r)
+"""

@@ -64,4 +64,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.ORACLE, "op3_warc": warc.ORACLE}
+    return {"op1_mix_sources": mixing.ORACLE, "op3_warc": warc.ORACLE, "op7_decontaminate": decontam.ORACLE}
