@@ -104,49 +104,63 @@ def is_chrome(tag: str, attributes: str, inside: bool) -> bool:
     return False
 
 
+def _ended_by(tag: str) -> tuple[frozenset[str], frozenset[str]] | None:
+    """What open elements a start tag ends, and the elements beyond which it ends none."""
+    kinds, limits = CLOSES.get(tag, (set(), set()))
+    if tag in ENDS_P:
+        kinds, limits = kinds | {"p"}, limits | {"table", "td", "th", "caption", "button"}
+    return (frozenset(kinds), frozenset(limits)) if kinds else None
+
+
+_ENDED_BY = {tag: found for tag in {*CLOSES, *ENDS_P} if (found := _ended_by(tag))}
+_RAW_ENDS = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW}
+
+
 def parse(page: str) -> Node:
     """The tree of a page; unclosed and stray tags are mended as browsers do in the common cases."""
     root = Node("#root")
     stack, content, at, n = [root], 0, 0, len(page)
+    search = _TOKEN.search
     while at < n:
-        m = _TOKEN.search(page, at)
+        m = search(page, at)
         if m is None:
             stack[-1].parts.append(page[at:])
             break
-        if m.start() > at:
-            stack[-1].parts.append(page[at : m.start()])
-        at = m.end()
-        tag = (m.group(2) or "").lower()
+        start, after = m.span()
+        if start > at:
+            stack[-1].parts.append(page[at:start])
+        at = after
+        closing, tag, attributes = m.groups()
         if not tag:
             continue
-        if m.group(1):
+        tag = tag.lower()
+        if closing:
             if tag == "p" and not any(x.tag == "p" for x in stack) or tag == "br":
                 stack[-1].parts.append(Node(tag))
                 continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
-                    content -= sum(x.tag in CONTENT_TAGS for x in stack[k:])
+                    if content:
+                        content -= sum(x.tag in CONTENT_TAGS for x in stack[k:])
                     del stack[k:]
                     break
                 if tag not in BLOCK and stack[k].tag in BLOCK:
                     break
             continue
-        kinds, limits = CLOSES.get(tag, (frozenset(), frozenset()))
-        if tag in ENDS_P:
-            kinds, limits = kinds | {"p"}, limits | {"table", "td", "th", "caption", "button"}
-        if kinds:
+        if ended := _ENDED_BY.get(tag):
+            kinds, limits = ended
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in limits:
                     break
                 if stack[k].tag in kinds:
                     del stack[k:]
-        node = Node(tag, is_chrome(tag, m.group(3), content > 0))
+        node = Node(tag, is_chrome(tag, attributes, content > 0))
         stack[-1].parts.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+            end = _RAW_ENDS[tag].search(page, at)
             node.parts.append(page[at : end.start() if end else n])
             at = end.end() if end else n
-        elif tag not in VOID and not m.group(3).rstrip().endswith("/") or tag in BLOCK - VOID:
+        elif tag not in VOID and (tag in BLOCK or not attributes.rstrip().endswith("/")):
             stack.append(node)
             content += tag in CONTENT_TAGS
     return root
@@ -433,12 +447,13 @@ def main_text(root: Node, templates: Collection[Reference] = ()) -> str:
     marked = {id(x) for x in content_nodes(root)}
     found = blocks(root, marked)
     outside = bool(marked) and any(not inside for _, inside, _ in found)
-    own = skeleton(root) if templates and found else []
-    have = {x[1:] for x in own} if not outside else set()
     gone, slots = set(), set()
-    for reference in templates:
+    useful = [x for x in templates if outside or x.fixed] if found else []  # the others could take nothing away
+    own = skeleton(root) if useful else []
+    have = {x[1:] for x in own}
+    for reference in useful:
         if not outside and have.isdisjoint(reference.fixed):
-            continue  # no constant node is in the page, so it could lose none
+            continue
         for i, j in reference.align(own):
             if i in reference.constant and reference.tree[i][2] == own[j][2]:
                 gone.add(j)
