@@ -333,6 +333,74 @@ def test_edited_copies_and_odd_rows(spark, odd):
     assert similar.drop_similar(odd.limit(0)).count() == 0
 
 
+def brute_classes(rows, size=5, least=0.8):
+    """doc_id to the smallest doc_id that a chain of links reaches, over all pairs."""
+    sets = [brute_shingles(t, size) for _, t in rows]
+    where, root = defaultdict(list), list(range(len(rows)))
+    for i, s in enumerate(sets):
+        for x in s or {()}:
+            where[x].append(i)
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in {(a, b) for v in where.values() for k, a in enumerate(v) for b in v[k + 1 :]}:
+        if jaccard(sets[a], sets[b]) >= least:
+            root[find(a)] = find(b)
+    first = defaultdict(lambda: 1 << 60)
+    for i, (d, _) in enumerate(rows):
+        first[find(i)] = min(first[find(i)], d)
+    return {d: first[find(i)] for i, (d, _) in enumerate(rows)}
+
+
+@pytest.mark.parametrize("block", [similar.MOST_BLOCK, 3])
+def test_no_link_is_lost(spark, monkeypatch, block):
+    """Pairs just above and below the threshold, a frequent passage, groups whose walks go around links."""
+    monkeypatch.setattr(similar, "MOST_BLOCK", block)
+    draw, rows = np.random.default_rng(4), []
+    word = lambda n: [f"v{x}" for x in draw.integers(0, 10**6, n)]
+    for k in range(300):
+        base = word(int(draw.integers(60, 140)))
+        other = list(base)
+        for at in draw.choice(len(base) // 5, max(1, len(base) // 45), replace=False):
+            other[5 * at] = "changed"
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+    passage, base = word(40), word(200)
+    rows += [(1000 + k, " ".join(word(20) + passage)) for k in range(60)]
+    for k in range(60):  # most at 0.75 to 0.85 from each other
+        at = int(draw.integers(0, 180))
+        rows.append((2000 + k, " ".join(base[:at] + word(int(draw.integers(8, 20))) + base[at + 14 :])))
+    rows += [(3000 + k, t) for k, t in enumerate([None, "", " ", "a", "A", "a b", "a b c d e", "a b c d e f"])]
+    want = brute_classes(rows)
+    got = {r["doc_id"]: r["keep_id"] for r in similar.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and 30 < sum(want[2 * k] == want[2 * k + 1] for k in range(300)) < 290
+
+
+def test_classes_equal_brute_force(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    for size, least in ((5, 0.8), (3, 0.6)):
+        assert {r["doc_id"]: r["keep_id"] for r in similar.classes(docs, size, least).collect()} == brute_classes(rows, size, least)
+
+
+def test_similar_sets_share_a_first_shingle():
+    draw = np.random.default_rng(5)
+    frequent = np.unique(draw.integers(0, 400, 50).astype(np.uint64))
+    rank = draw.permutation(len(frequent))
+    for _ in range(2000):
+        pool = draw.permutation(400)[: int(draw.integers(1, 60))].astype(np.uint64)
+        a, b = (np.sort(pool[draw.random(len(pool)) < 0.9]) for _ in range(2))
+        for least in (0.5, 0.8, 1.0):
+            if len(a) and similar.similarity_of(a, b) >= least:
+                first = set(similar.prefix(a, least, frequent, rank).tolist()) & set(similar.prefix(b, least, frequent, rank).tolist())
+                assert first
+            bits = int(np.bitwise_count((similar.sketch(a) ^ similar.sketch(b)).view(np.uint64)).sum())
+            assert bits <= len(np.setxor1d(a, b))
+    assert similar.fewest_shared(10, 0.8) == 8 and similar.fewest_shared(11, 0.8) == 9 and similar.fewest_shared(1, 0.8) == 1
+
+
 def test_similarity_of_sets():
     a, b = (np.array(x, np.uint64) for x in ([1, 2, 3, 4], [2, 3, 4, 9]))
     assert similar.similarity_of(a, b) == 0.6 and similar.similarity_of(a[:0], b[:0]) == 1 and similar.similarity_of(a, a) == 1
