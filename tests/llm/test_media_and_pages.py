@@ -97,6 +97,25 @@ def test_stored_audio_is_lossless(spark, tiny):
     assert all(str(zlib.crc32(r["pcm"])) == crcs[r["doc_id"]] and r["rate"] == 16000 for r in pcm)
 
 
+def test_features_come_from_stored_pcm(spark, tiny):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").limit(60)
+    media = telephony.store(docs)
+    got = telephony.features(media)
+    files = got.inputFiles()
+    assert files and all("/telephony-pcm-" in f for f in files)  # nothing but the stored PCM is read
+    want = {hashlib.sha256(m).hexdigest(): telephony.describe(codec, pcm) for m in [r["media"] for r in media.collect()] for codec, _, pcm in telephony.decode_batch([m])}
+    assert {r["media_sha256"]: r["feature"] for r in got.collect()} == want
+
+
+def test_pcm_is_packed_without_loss():
+    draw = np.random.default_rng(3)
+    for n in (0, 1, 2, 3, 4, 7, 1000, 1001):
+        for pcm in (draw.integers(-32768, 32768, n).astype(np.int16), draw.choice(np.array([-32768, 32767], np.int16), n)):
+            assert telephony.unpack(telephony.pack(pcm)).tolist() == pcm.tolist()
+    pcm = telephony.resample(draw.integers(-32768, 32768, 500).astype(np.int16))
+    assert telephony.unpack(telephony.pack(pcm)).tolist() == pcm.tolist() and not any(telephony.pack(pcm)[1000:])
+
+
 def test_toxicity_of_held_out_documents(spark, small):
     got = {r["doc_id"]: r for r in queries.op8_toxicity(spark, small).collect()}
     labels = spark.read.parquet(f"{small}/labels.parquet").collect()

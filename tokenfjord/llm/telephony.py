@@ -4,7 +4,10 @@ A payload's bytes are the coded samples themselves (mu-law and A-law: one byte
 a sample; ADPCM: blocks of 192 bytes), so storing is lossless. Reading expands
 mu-law and A-law by lookup tables and decodes ADPCM blocks with numpy, one
 nibble of all blocks of a batch at a time; the 8 kHz samples are resampled to
-16 kHz 16-bit PCM, from which features are computed.
+16 kHz 16-bit PCM, which is stored, too. Features are computed from the PCM read
+back. It is stored without loss by prediction: every second sample, and the
+differences of those between from what their four neighbours give, in blocks of
+many documents that are compressed Arrow streams.
 
 Defined results: a null text is empty and is padded to one block; equal texts
 give equal rows; the codec follows from the payload.
@@ -30,6 +33,10 @@ CODECS = ("mulaw", "alaw", "ima_adpcm")
 #: WAV format tags of the codecs.
 TAGS = {"mulaw": 7, "alaw": 6, "ima_adpcm": 17}
 BLOCK_SAMPLES = (BLOCK - 4) * 2 + 1
+#: How media are written: long pages hold many documents.
+DENSE = {"parquet.compression.codec.zstd.level": "9", "parquet.page.size": str(4 << 20)}
+#: Bytes of media whose PCM makes a block, and the level of its compression.
+PCM_BLOCK, PCM_LEVEL = 4 << 20, 12
 
 # Fixed values of the IMA ADPCM format: quantiser steps and index moves.
 STEPS = [
@@ -87,13 +94,35 @@ def decode_adpcm(data: np.ndarray) -> np.ndarray:
     return out.T
 
 
-def resample(pcm: np.ndarray) -> np.ndarray:
-    """Twice the rate: between samples the four nearest are weighed -1, 9, 9, -1 over 16."""
+def between(pcm: np.ndarray) -> np.ndarray:
+    """After each sample the one half-way to the next: the four nearest are weighed -1, 9, 9, -1 over 16."""
     x = np.pad(pcm.astype(np.int32), (1, 2), "edge")
-    between = (9 * (x[1:-2] + x[2:-1]) - x[:-3] - x[3:] + 8) >> 4
+    return np.clip((9 * (x[1:-2] + x[2:-1]) - x[:-3] - x[3:] + 8) >> 4, -32768, 32767).astype(np.int16)
+
+
+def resample(pcm: np.ndarray) -> np.ndarray:
+    """Twice the rate."""
     out = np.empty(2 * len(pcm), np.int16)
     out[::2] = pcm
-    out[1::2] = np.clip(between, -32768, 32767)
+    out[1::2] = between(pcm)
+    return out
+
+
+def pack(pcm: np.ndarray) -> bytes:
+    """Any int16 samples without loss: the even ones, then what the odd ones differ by from the prediction, modulo 2^16."""
+    if not len(pcm):
+        return b""
+    even, odd = pcm[::2], pcm[1::2]
+    return even.astype("<i2").tobytes() + (odd - between(even)[: len(odd)]).astype("<i2").tobytes()
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    """The samples of ``pack``."""
+    both = np.frombuffer(packed, "<i2").astype(np.int16)
+    out, half = np.empty_like(both), (len(both) + 1) // 2
+    if len(both):
+        out[::2] = both[:half]
+        out[1::2] = both[half:] + between(both[:half])[: len(both) - half]
     return out
 
 
@@ -167,41 +196,76 @@ def _store_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def store(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media): every text as a WAV file, written to the shared folder and read back."""
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return materialize(narrow.mapInArrow(_store_batches, "doc_id long, n_bytes long, media binary"), "telephony")
+    return materialize(narrow.mapInArrow(_store_batches, "doc_id long, n_bytes long, media binary"), "telephony", **DENSE)
 
 
-def _pcm_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches, "media", 2 << 20):
-        decoded = decode_batch(batch.column("media").to_pylist())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([2 * RATE] * len(decoded), pa.int32()), pa.array([pcm.astype("<i2").tobytes() for _, _, pcm in decoded], pa.binary())], ["doc_id", "rate", "pcm"])
+def _block(rows: pa.RecordBatch) -> bytes:
+    """A batch as an Arrow stream, its buffers compressed."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=PCM_LEVEL))) as stream:
+        stream.write_batch(rows)
+    return sink.getvalue().to_pybytes()
 
 
-def store_pcm(media: DataFrame) -> DataFrame:
-    """(doc_id, rate, pcm): the resampled PCM of a media table, written to the shared folder."""
-    return materialize(media.select("doc_id", "media").mapInArrow(_pcm_batches, "doc_id long, rate int, pcm binary"), "telephony-pcm")
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each stored block."""
+    for batch in pieces(batches, "block", 1 << 20):
+        for block in batch.column("block"):
+            yield from pa.ipc.open_stream(block.as_buffer())
 
 
-FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+PCM = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "codec", "rate", "packed"]
 
 
-def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches, "media", 4 << 20):
+def _pcm_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in pieces(batches, "media", PCM_BLOCK):
         media = batch.column("media").to_pylist()
         decoded = decode_batch(media)
         payloads = [p for _, p, _ in decoded]
+        order = sorted(range(len(decoded)), key=lambda k: decoded[k][0])  # like samples are stored together
         columns = [
-            batch.column("doc_id"),
-            batch.column("n_bytes"),
-            pa.array([len(p) for p in payloads], pa.int64()),
-            pa.array([hashlib.sha256(p).hexdigest() for p in payloads]),
-            pa.array([zlib.crc32(p[-16:]) for p in payloads], pa.int64()),
-            pa.array([len(m) for m in media], pa.int64()),
-            pa.array([hashlib.sha256(m).hexdigest() for m in media]),
-            pa.array([describe(codec, pcm) for codec, _, pcm in decoded]),
+            batch.column("doc_id").take(pa.array(order)),
+            batch.column("n_bytes").take(pa.array(order)),
+            pa.array([len(payloads[k]) for k in order], pa.int64()),
+            pa.array([hashlib.sha256(payloads[k]).digest() for k in order], pa.binary()),
+            pa.array([zlib.crc32(payloads[k][-16:]) for k in order], pa.int64()),
+            pa.array([len(media[k]) for k in order], pa.int64()),
+            pa.array([hashlib.sha256(media[k]).digest() for k in order], pa.binary()),
+            pa.array([decoded[k][0] for k in order]),
+            pa.array([2 * RATE] * len(order), pa.int32()),
+            pa.array([pack(decoded[k][2]) for k in order], pa.large_binary()),
         ]
-        yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in FEATURES.split(", ")])
+        yield pa.RecordBatch.from_arrays([pa.array([_block(pa.RecordBatch.from_arrays(columns, PCM))], pa.binary())], ["block"])
+
+
+def _stored_pcm(media: DataFrame) -> DataFrame:
+    """Blocks of the PCM of a media table, packed, with digests of the files: written to the shared folder and read back."""
+    return materialize(media.select("doc_id", "n_bytes", "media").mapInArrow(_pcm_batches, "block binary"), "telephony-pcm")
+
+
+def _unpacked_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for block in _blocks(batches):
+        for batch in pieces(iter([block]), "packed"):
+            pcm = pa.array([unpack(x).astype("<i2").tobytes() for x in batch.column("packed").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rate"), pcm], ["doc_id", "rate", "pcm"])
+
+
+def store_pcm(media: DataFrame) -> DataFrame:
+    """(doc_id, rate, pcm): the resampled PCM of a media table, written to the shared folder and read back."""
+    return _stored_pcm(media).mapInArrow(_unpacked_batches, "doc_id long, rate int, pcm binary")
+
+
+FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
+
+def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [x.split()[0] for x in FEATURES.split(", ")]
+    for rows in _blocks(batches):
+        columns = {c: pa.array([x.hex() for x in rows.column(c).to_pylist()]) if c.endswith("sha256") else rows.column(c) for c in names[:-1]}
+        described = [describe(codec.as_py(), unpack(x.as_py())) for codec, x in zip(rows.column("codec"), rows.column("packed"), strict=True)]
+        yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(described)], names)
 
 
 def features(media: DataFrame) -> DataFrame:
-    """Digests of the stored files and features of their resampled PCM."""
-    return media.mapInArrow(_feature_batches, FEATURES)
+    """Digests of the stored files and features of their resampled PCM, which is stored and read back."""
+    return _stored_pcm(media).mapInArrow(_feature_batches, FEATURES)
