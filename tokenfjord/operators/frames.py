@@ -8,7 +8,9 @@ want and only those are built.
 
 from __future__ import annotations
 
+import itertools
 import json
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import Any
 
@@ -22,8 +24,11 @@ from .engine import Engine, Options, engine, shown
 from .spacing import correct_spaces, detokenize
 from .tokens import BEGINS, ENDS, Kind, Token, kind_name
 
-#: Rows of one Arrow batch that leaves a worker, and texts taken at once.
-OUT_ROWS, IN_ROWS = 20_000, 256
+#: Rows of one Arrow batch that leaves a worker; bytes of text and texts taken at once.
+OUT_ROWS, IN_BYTES, IN_ROWS = 20_000, 1 << 20, 10_000
+#: Texts of at most so many characters are tokenized once in a task while they
+#: are among so many different ones.
+SHORT, MOST_SHORT = 100, 20_000
 
 MEANING = pa.struct([("stofn", pa.string()), ("utg", pa.int32()), ("ordfl", pa.string()), ("fl", pa.string()), ("ordmynd", pa.string()), ("beyging", pa.string())])
 _DATES = {Kind.DATEABS, Kind.DATEREL, Kind.DATE}
@@ -93,19 +98,37 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(2 * cores) if cores > 1 and size < cores * SPREAD_BYTES else df
 
 
-def per_text(df: DataFrame, text: str, keys: Sequence[str], columns: list[tuple[str, str, pa.DataType]], rows: Callable[[Any], Iterable[tuple]], chunks: bool = False) -> DataFrame:
+def per_text(df: DataFrame, text: str, keys: Sequence[str], columns: list[tuple[str, str, pa.DataType | Callable[[Sequence], pa.Array]]], rows: Callable[[Any], Iterable[tuple]], chunks: bool = False) -> DataFrame:
     """Key columns, and the columns of the rows that each text gives; ``columns`` has (name, SQL type, Arrow type).
 
     A null text gives no rows. With ``chunks`` the column holds arrays of strings.
+    In place of an Arrow type a column may have a function that makes the array
+    of its values. What a text gives depends on nothing else, so short texts that
+    come again, as those made from a column of few values, are not tokenized again.
     """
     schema = T.StructType([*(T.StructField(k, df.schema[k].dataType) for k in keys), *T.StructType.fromDDL(", ".join(f"`{n}` {s}" for n, s, _ in columns)).fields])
     names = [*keys, *(n for n, _, _ in columns)]
     key_names = list(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, Rows] = {}
+        seen, most = 0, MOST_SHORT
+
+        def short(value: str) -> Rows:
+            nonlocal most
+            made = list(rows(value))
+            if len(known) >= most:
+                known.clear()
+                most = MOST_SHORT if seen > 2 * MOST_SHORT else 0  # texts that hardly come again aren't worth it
+            if most:
+                known[value] = made
+            return made
+
         for whole in batches:
-            for at in range(0, whole.num_rows, IN_ROWS):
-                batch = whole.slice(at, IN_ROWS)
+            step = max(1, min(IN_ROWS, whole.num_rows * IN_BYTES // max(1, whole.column(text).nbytes)))
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
+                seen += batch.num_rows
                 owner: list[int] = []
                 found: Rows = []
 
@@ -113,11 +136,21 @@ def per_text(df: DataFrame, text: str, keys: Sequence[str], columns: list[tuple[
                     values = list(zip(*found, strict=True)) if found else [[]] * len(columns)
                     place = pa.array(owner, pa.int64())
                     kept = [batch.column(k).take(place) for k in key_names]
-                    return pa.RecordBatch.from_arrays([*kept, *(pa.array(v, t) for v, (_, _, t) in zip(values, columns, strict=True))], names)
+                    return pa.RecordBatch.from_arrays([*kept, *(pa.array(v, t) if isinstance(t, pa.DataType) else t(v) for v, (_, _, t) in zip(values, columns, strict=True))], names)
 
                 for k, value in enumerate(batch.column(text).to_pylist()):
                     if value is None:
                         continue
+                    if isinstance(value, str) and len(value) <= SHORT:
+                        made = known.get(value)
+                        if made is None:
+                            made = short(value)
+                        found += made
+                        owner += [k] * len(made)
+                        if len(found) >= OUT_ROWS:
+                            yield out()
+                            owner, found = [], []
+                        continue
                     for row in rows(value):
                         found.append(row)
                         owner.append(k)
@@ -157,16 +190,49 @@ def tokens(df: DataFrame, text: str = "text", keys: Sequence[str] = ("doc_id",),
     return per_text(df, text, keys, columns, rows, chunks)
 
 
+def tokens_of_kinds(df: DataFrame, kinds: Sequence[int], text: str = "text", keys: Sequence[str] = ("doc_id",), fields: Sequence[str] = ("txt",), **options: Any) -> DataFrame:
+    """One row per token of certain kinds: keys and the named fields, without places."""
+    chosen, wanted = Options.of(options), frozenset(map(int, kinds))
+    getters = [FIELDS[f][1] for f in fields]
+
+    def rows(value: Any) -> list[tuple]:
+        return [tuple([g(t) for g in getters]) for t in engine(chosen).of_kinds(value, wanted)]
+
+    return per_text(df, text, keys, [(f, _SQL[FIELDS[f][0]], FIELDS[f][0]) for f in fields], rows)
+
+
+def kind_counts(df: DataFrame, text: str = "text", keys: Sequence[str] = ("doc_id",), **options: Any) -> DataFrame:
+    """(keys, kind_name, n): the number of tokens of each kind in each text."""
+    chosen = Options.of(options)
+
+    def rows(value: Any) -> list[tuple]:
+        found = Counter([t.kind for t in engine(chosen).tokenize(value) if t.txt])
+        return [(kind_name(k), n) for k, n in found.items() if k not in ENDS and k not in BEGINS]
+
+    return per_text(df, text, keys, [("kind_name", "string", pa.string()), ("n", "long", pa.int64())], rows)
+
+
+def _struct_lists(fields: Sequence[str]) -> Callable[[Sequence[list[Token]]], pa.Array]:
+    """An array of lists of structs from lists of tokens, field by field."""
+    types, getters = [FIELDS[f][0] for f in fields], [FIELDS[f][1] for f in fields]
+
+    def make(lists: Sequence[list[Token]]) -> pa.Array:
+        flat = [t for found in lists for t in found]
+        ends = [0, *itertools.accumulate(map(len, lists))]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array([g(t) for t in flat], kind) for g, kind in zip(getters, types, strict=True)], list(fields)))
+
+    return make
+
+
 def token_arrays(df: DataFrame, text: str = "text", keys: Sequence[str] = ("doc_id",), fields: Sequence[str] = ("kind", "txt", "norm"), **options: Any) -> DataFrame:
     """One row per text with its tokens, sentence and paragraph marks included, as an array of structs."""
     chosen = Options.of(options)
-    kind = pa.list_(pa.struct([(f, FIELDS[f][0]) for f in fields]))
     sql = f"array<struct<{','.join(f'{f}:{_SQL[FIELDS[f][0]]}' for f in fields)}>>"
 
     def rows(value: Any) -> Iterator[tuple]:
-        yield ([{f: FIELDS[f][1](t) for f in fields} for t in engine(chosen).tokenize(value)],)
+        yield (engine(chosen).tokenize(value),)
 
-    return per_text(df, text, keys, [("tokens", sql, kind)], rows)
+    return per_text(df, text, keys, [("tokens", sql, _struct_lists(fields))], rows)
 
 
 def lexed(df: DataFrame, text: str = "text", keys: Sequence[str] = ("doc_id",), fields: Sequence[str] = ("kind", "txt", "original"), **options: Any) -> DataFrame:
@@ -220,19 +286,22 @@ def sentences(df: DataFrame, text: str = "text", keys: Sequence[str] = ("doc_id"
     return per_text(df, text, keys, [("sent_idx", "int", pa.int32()), ("sentence", "string", pa.string())], rows)
 
 
-def paragraphs(df: DataFrame, text: str = "text", keys: Sequence[str] = ("doc_id",), **options: Any) -> DataFrame:
-    """(keys, para_idx, sent_no, begin_idx, sentence): paragraphs' sentences; those of punctuation only are left out."""
+def paragraphs(df: DataFrame, text: str = "text", keys: Sequence[str] = ("doc_id",), fields: Sequence[str] = ("para_idx", "sent_no", "begin_idx", "sentence"), **options: Any) -> DataFrame:
+    """(keys, para_idx, sent_no, begin_idx, sentence), or some of these: paragraphs' sentences; those of punctuation only are left out."""
     from .engine import paragraphs as grouped
     from .engine import text_from_tokens
 
     chosen = Options.of(options)
+    columns = [("para_idx", "int", pa.int32()), ("sent_no", "int", pa.int32()), ("begin_idx", "int", pa.int32()), ("sentence", "string", pa.string())]
+    places, shown_too = [i for f in fields for i, c in enumerate(columns) if c[0] == f], "sentence" in fields
 
     def rows(value: Any) -> Iterator[tuple]:
         for p, found in enumerate(grouped(engine(chosen).tokenize(value))):
             for k, (begin, sentence) in enumerate(found):
-                yield p, k, begin, text_from_tokens(sentence)
+                whole = p, k, begin, text_from_tokens(sentence) if shown_too else None
+                yield tuple([whole[i] for i in places])
 
-    return per_text(df, text, keys, [("para_idx", "int", pa.int32()), ("sent_no", "int", pa.int32()), ("begin_idx", "int", pa.int32()), ("sentence", "string", pa.string())], rows)
+    return per_text(df, text, keys, [columns[i] for i in places], rows)
 
 
 def respaced(df: DataFrame, text: str = "text", keys: Sequence[str] = ("doc_id",), normalize: bool = False, **options: Any) -> DataFrame:
@@ -331,4 +400,4 @@ def lines(df: DataFrame, form: str = "text", text: str = "text", keys: Sequence[
     return per_text(df, text, keys, [("line_no", "int", pa.int32()), ("value", "string", pa.string())], rows)
 
 
-__all__ = ["FIELDS", "Engine", "Options", "chunked", "corrected", "lexed", "lexed_vocabulary", "lines", "offsets", "paragraphs", "raw_tokens", "respaced", "sentences", "token_arrays", "tokens", "vocabulary"]
+__all__ = ["FIELDS", "Engine", "Options", "chunked", "corrected", "kind_counts", "lexed", "lexed_vocabulary", "lines", "offsets", "paragraphs", "raw_tokens", "respaced", "sentences", "token_arrays", "tokens", "tokens_of_kinds", "vocabulary"]

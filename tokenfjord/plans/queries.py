@@ -214,8 +214,7 @@ def abbreviation_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def parsed(df: DataFrame, text: Column, keys: Sequence[str], kind: Kind, fields: Sequence[str], **options: Any) -> DataFrame:
     """The fields of the tokens of a kind in a text made from each row."""
-    rows = frames.tokens(df.select(*keys, text.alias("text")), keys=keys, fields=("kind", *fields), **options)
-    return rows.where(F.col("kind") == int(kind)).select(*keys, *fields)
+    return frames.tokens_of_kinds(df.select(*keys, text.alias("text")), [kind], keys=keys, fields=fields, **options)
 
 
 def _grouped(number: Column) -> Column:
