@@ -31,3 +31,19 @@ def test_figures_try_the_rules_that_fit_their_shape_only():
             want = next(tried, None)
             got = lexer.number(text, 0, convert)
             assert (got.size, got.kind, got.val) == ((len(want[0]), want[1][0], want[1][1]) if want else (len(text), Kind.UNKNOWN, None))
+
+
+def test_no_phase_runs_where_no_rule_can_begin(monkeypatch):
+    """numbers_icelandic"""
+    want = [(t.kind, t.txt, t.val) for t in engine.tokenize("Talan 23.456,78 er rétt. Hún er 5.")]
+    monkeypatch.setattr(cascade, "run", None)
+    found = engine.Engine().tokenize("Talan 23.456,78 er rétt.")
+    assert [(t.kind, t.txt, t.val) for t in found] == [*want[:6], (Kind.S_END, "", None)]
+    assert [(t.kind, t.val) for t in engine.Engine().of_kinds("Talan 23.456,78 er rétt.", frozenset([Kind.NUMBER]))] == [(Kind.NUMBER, 23456.78)]
+
+
+@pytest.mark.parametrize("kind", [Kind.NUMBER, Kind.YEAR, Kind.ORDINAL, Kind.WORD, Kind.PUNCTUATION, Kind.DATEREL])
+def test_tokens_of_a_kind_are_those_of_the_whole(kind):
+    for text in ("Talan 5 er rétt", "5. maí 1990", "Hér er 1.\n\n2. grein, 1990.", "[[Ár 1990]][[Já!?]]", "Hús- og bóka-\n og 1939-1945", "x 12 %... 13"):
+        want = [t for t in engine.tokenize(text) if t.kind == kind and t.txt]
+        assert engine.Engine().of_kinds(text, frozenset([kind])) == want
