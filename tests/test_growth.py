@@ -47,3 +47,11 @@ def test_tokens_of_a_kind_are_those_of_the_whole(kind):
     for text in ("Talan 5 er rétt", "5. maí 1990", "Hér er 1.\n\n2. grein, 1990.", "[[Ár 1990]][[Já!?]]", "Hús- og bóka-\n og 1939-1945", "x 12 %... 13"):
         want = [t for t in engine.tokenize(text) if t.kind == kind and t.txt]
         assert engine.Engine().of_kinds(text, frozenset([kind])) == want
+
+
+def test_short_texts_that_come_again_are_tokenized_once_a_task(spark):
+    """ordinals"""
+    texts = spark.range(400).selectExpr("id", "concat('Þetta er ', id % 2, '. grein laganna.') as text")
+    found = frames.per_text(texts, "text", ["id"], [("at", "string", pa.string())], lambda value: [(uuid.uuid4().hex,)])
+    assert found.count() == 400
+    assert found.select("at").distinct().count() <= 2 * found.rdd.getNumPartitions() < 400
