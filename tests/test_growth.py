@@ -55,3 +55,11 @@ def test_short_texts_that_come_again_are_tokenized_once_a_task(spark):
     found = frames.per_text(texts, "text", ["id"], [("at", "string", pa.string())], lambda value: [(uuid.uuid4().hex,)])
     assert found.count() == 400
     assert found.select("at").distinct().count() <= 2 * found.rdd.getNumPartitions() < 400
+
+
+def test_kinds_are_counted_where_the_texts_are(spark):
+    """kind_histogram"""
+    texts = [(1, "Hann fór 5. maí 1990 kl. 9:05. Hún kom!\n\n[[Já.]]"), (2, None), (3, ""), (4, "5 %, 6 %")]
+    found = frames.kind_counts(spark.createDataFrame(texts, "doc_id int, text string")).collect()
+    want = [(k, *x) for k, text in texts if text for x in Counter(kind_name(t.kind) for t in engine.tokenize(text) if t.txt).items()]
+    assert sorted(map(tuple, found)) == sorted(want)

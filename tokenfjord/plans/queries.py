@@ -395,8 +395,7 @@ def streamed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def kind_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of each kind per language, by full tokenization."""
-    rows = frames.tokens(table(spark, sf_dir, "documents"), keys=["lang"], fields=("kind_name",))
-    return rows.groupBy("lang", "kind_name").agg(F.count("*").alias("n"))
+    return frames.kind_counts(table(spark, sf_dir, "documents"), keys=["lang"]).groupBy("lang", "kind_name").agg(F.sum("n").alias("n"))
 
 
 @query()
