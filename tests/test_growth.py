@@ -63,3 +63,9 @@ def test_kinds_are_counted_where_the_texts_are(spark):
     found = frames.kind_counts(spark.createDataFrame(texts, "doc_id int, text string")).collect()
     want = [(k, *x) for k, text in texts if text for x in Counter(kind_name(t.kind) for t in engine.tokenize(text) if t.txt).items()]
     assert sorted(map(tuple, found)) == sorted(want)
+
+
+@pytest.mark.parametrize("name", ["temperatures"])
+def test_only_the_wanted_tokens_leave_python(spark, tiny, name):
+    above = plan(name, spark, tiny).split("MapInArrow")[0]
+    assert "Filter" not in above and "kind" not in above
