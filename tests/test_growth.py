@@ -69,3 +69,8 @@ def test_kinds_are_counted_where_the_texts_are(spark):
 def test_only_the_wanted_tokens_leave_python(spark, tiny, name):
     above = plan(name, spark, tiny).split("MapInArrow")[0]
     assert "Filter" not in above and "kind" not in above
+
+
+def test_the_rollup_expands_counts_and_not_tokens(spark, tiny):
+    """kind_rollup"""
+    assert "HashAggregate" in plan("kind_rollup", spark, tiny).split("Expand")[-1]

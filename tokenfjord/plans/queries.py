@@ -412,8 +412,8 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def kind_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = frames.tokens(table(spark, sf_dir, "documents"), keys=["source", "lang"], fields=("kind_name",))
-    return rows.rollup("lang", "kind_name").agg(F.count("*").alias("n"), F.countDistinct("source").alias("sources"))
+    counted = frames.kind_counts(table(spark, sf_dir, "documents"), keys=["source", "lang"]).groupBy("source", "lang", "kind_name").agg(F.sum("n").alias("n"))
+    return counted.rollup("lang", "kind_name").agg(F.sum("n").alias("n"), F.countDistinct("source").alias("sources"))
 
 
 @query()
