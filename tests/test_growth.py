@@ -74,3 +74,8 @@ def test_only_the_wanted_tokens_leave_python(spark, tiny, name):
 def test_the_rollup_expands_counts_and_not_tokens(spark, tiny):
     """kind_rollup"""
     assert "HashAggregate" in plan("kind_rollup", spark, tiny).split("Expand")[-1]
+
+
+def test_table_functions_get_small_inputs_spread(spark, tiny):
+    """sql_options"""
+    assert "RoundRobinPartitioning" in plan("sql_options", spark, tiny)

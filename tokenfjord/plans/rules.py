@@ -264,7 +264,7 @@ def sql_options(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     sql.register(spark)
     text = F.concat(F.lit("Verð "), F.col("k") % 9 + 1, F.lit(",500.5 prósent\nNý lína"))
-    _parts(spark, sf_dir).select("k", text.alias("text")).createOrReplaceTempView("texts_with_options")
+    frames.spread(_parts(spark, sf_dir).select("k", text.alias("text"))).createOrReplaceTempView("texts_with_options")
     options = "'convert_numbers,coalesce_percent,one_sent_per_line'"
     rows = spark.sql(f"SELECT d.k, t.sent_idx, t.tok_idx, t.kind_name, t.txt FROM texts_with_options d, LATERAL tokenize(d.text, {options}) t")
     count = spark.sql("SELECT d.k, CAST(count(*) AS INT) AS n FROM texts_with_options d, LATERAL sentences(d.text, 'one_sent_per_line') s GROUP BY d.k")

@@ -1,5 +1,6 @@
 """SQL surface: table functions and scalar functions for a session."""
 
+import functools
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 
+@functools.cache
 def _options(names: str | None):  # noqa: ANN202
     """Options from names apart by commas; ``no_`` before a name switches it off, ``name=value`` sets it."""
     from .operators.engine import Options
