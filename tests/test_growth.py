@@ -79,3 +79,10 @@ def test_the_rollup_expands_counts_and_not_tokens(spark, tiny):
 def test_table_functions_get_small_inputs_spread(spark, tiny):
     """sql_options"""
     assert "RoundRobinPartitioning" in plan("sql_options", spark, tiny)
+
+
+def test_arrays_of_tokens_are_made_field_by_field():
+    """originals_restored"""
+    lists = [engine.tokenize("Hann  fór."), [], engine.tokenize("5 m")]
+    found = frames._struct_lists(["original", "kind"])(lists)
+    assert found.to_pylist() == [[{"original": t.original, "kind": int(t.kind)} for t in one] for one in lists]
