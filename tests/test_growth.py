@@ -86,3 +86,8 @@ def test_arrays_of_tokens_are_made_field_by_field():
     lists = [engine.tokenize("Hann  fór."), [], engine.tokenize("5 m")]
     found = frames._struct_lists(["original", "kind"])(lists)
     assert found.to_pylist() == [[{"original": t.original, "kind": int(t.kind)} for t in one] for one in lists]
+
+
+def test_tokens_of_a_text_are_not_gathered_by_a_shuffle(spark, tiny):
+    """lexer_rules"""
+    assert "hashpartitioning" not in plan("lexer_rules", spark, tiny)

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import abbreviations, build, engine, frames
@@ -86,9 +86,14 @@ _FIELDS = ("kind_name", "txt", "norm", "num", "unit", "y", "mo", "d", "h", "mi",
 
 
 def _found(texts: DataFrame, **options: Any) -> DataFrame:
-    rows = frames.tokens(texts, keys=["k", "rule"], fields=_FIELDS, **options).withColumn("num", F.round("num", 6))
-    one = F.concat_ws("|", *[F.col(c).cast("string") for c in _FIELDS[:-1]], F.array_join(F.transform("meanings", lambda m: m["stofn"]), "/"))
-    return rows.groupBy("k", "rule").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sent_idx", "tok_idx", one.alias("x")))), lambda r: r["x"]), " + ").alias("found"))
+    """The tokens of a text come from Python together, so they needn't be gathered by a shuffle."""
+
+    def one(t: Column) -> Column:
+        plain = [(F.round(t[c], 6) if c == "num" else t[c]).cast("string") for c in _FIELDS[:-1]]
+        return F.concat_ws("|", *plain, F.array_join(F.transform(t["meanings"], lambda m: m["stofn"]), "/"))
+
+    rows = frames.token_arrays(texts, keys=["k", "rule"], fields=_FIELDS, **options)
+    return rows.select("k", "rule", F.array_join(F.transform(F.filter("tokens", lambda t: t["txt"] != ""), one), " + ").alias("found"))
 
 
 def lexer_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
