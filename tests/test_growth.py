@@ -65,7 +65,7 @@ def test_kinds_are_counted_where_the_texts_are(spark):
     assert sorted(map(tuple, found)) == sorted(want)
 
 
-@pytest.mark.parametrize("name", ["temperatures", "percent_words", "measurements", "numbers_converted"])
+@pytest.mark.parametrize("name", ["temperatures", "percent_words", "measurements", "numbers_converted", "percentages"])
 def test_only_the_wanted_tokens_leave_python(spark, tiny, name):
     above = plan(name, spark, tiny).split("MapInArrow")[0]
     assert "Filter" not in above and "kind" not in above
