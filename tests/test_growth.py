@@ -91,3 +91,13 @@ def test_arrays_of_tokens_are_made_field_by_field():
 def test_tokens_of_a_text_are_not_gathered_by_a_shuffle(spark, tiny):
     """lexer_rules"""
     assert "hashpartitioning" not in plan("lexer_rules", spark, tiny)
+
+
+def test_inert_words_are_made_once_and_callers_get_their_own():
+    """document_sentences"""
+    own = engine.Engine()
+    words = [[t for t in own.tokenize(text) if type(t) is Inert] for text in ("Hann fór heim.", "Hún fór út.")]
+    assert words[0][1] is words[1][1] and words[0][1].txt == "fór"
+    mine = engine.tokenize("Hann fór heim.")
+    mine[2].txt = "kom"
+    assert [t.txt for t in engine.tokenize("Hann fór heim.")] == ["", "Hann", "fór", "heim", ".", ""]
