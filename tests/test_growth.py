@@ -101,3 +101,11 @@ def test_inert_words_are_made_once_and_callers_get_their_own():
     mine = engine.tokenize("Hann fór heim.")
     mine[2].txt = "kom"
     assert [t.txt for t in engine.tokenize("Hann fór heim.")] == ["", "Hann", "fór", "heim", ".", ""]
+
+
+def test_words_of_one_language_only_without_a_join(spark, tmp_path):
+    """french_only_words: no task gets all occurrences of a word."""
+    rows = [("fr", "le chat le chat"), ("en", "the chat"), ("de", "le"), ("fr", None), (None, "le"), ("fr", "une")]
+    spark.createDataFrame(rows, "lang string, text string").selectExpr("monotonically_increasing_id() as doc_id", "*").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(r[0] for r in QUERIES["french_only_words"](spark, str(tmp_path)).collect()) == ["le", "une"]
+    assert "Join" not in plan("french_only_words", spark, str(tmp_path))

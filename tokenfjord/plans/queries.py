@@ -78,8 +78,10 @@ def frequent_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT word FROM (SELECT DISTINCT unnest({_WORDS}) AS word FROM documents WHERE lang = 'fr') EXCEPT SELECT word FROM (SELECT DISTINCT unnest({_WORDS}) AS word FROM documents WHERE lang = 'en')")
 def french_only_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = _words(spark, sf_dir)
-    return words.where("lang = 'fr'").select("word").subtract(words.where("lang = 'en'").select("word"))
+    """One pass that keeps each word once a task: no word's occurrences meet in one."""
+    both = table(spark, sf_dir, "documents").where("lang in ('fr', 'en')").select("lang", F.explode(F.array_distinct(X.words(F.col("text")))).alias("word"))
+    seen = both.groupBy("word").agg(F.bool_or(F.col("lang") == "fr").alias("fr"), F.bool_or(F.col("lang") == "en").alias("en"))
+    return seen.where("fr and not en").select("word")
 
 
 _STOP = ("the", "of", "and", "to", "in", "de", "la", "der", "die", "que", "le", "el")
