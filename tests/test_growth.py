@@ -109,3 +109,11 @@ def test_words_of_one_language_only_without_a_join(spark, tmp_path):
     spark.createDataFrame(rows, "lang string, text string").selectExpr("monotonically_increasing_id() as doc_id", "*").write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted(r[0] for r in QUERIES["french_only_words"](spark, str(tmp_path)).collect()) == ["le", "une"]
     assert "Join" not in plan("french_only_words", spark, str(tmp_path))
+
+
+def test_paragraphs_give_the_columns_asked_for(spark):
+    """document_paragraphs"""
+    docs = spark.createDataFrame([(1, "[[Já. Nei.]][[Hér.]]")], "doc_id int, text string")
+    found = frames.paragraphs(docs, fields=["sent_no", "para_idx"])
+    assert found.columns == ["doc_id", "sent_no", "para_idx"]
+    assert sorted(map(tuple, found.collect())) == [(1, 0, 0), (1, 0, 1), (1, 1, 0)]

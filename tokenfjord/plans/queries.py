@@ -434,7 +434,7 @@ def originals_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def document_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = table(spark, sf_dir, "documents").select("doc_id", X.mark_paragraphs(F.col("text")).alias("text"))
-    return frames.paragraphs(marked).groupBy("doc_id").agg(F.countDistinct("para_idx").alias("n_paragraphs"), F.count("*").alias("n_sentences"))
+    return frames.paragraphs(marked, fields=["para_idx"]).groupBy("doc_id").agg(F.countDistinct("para_idx").alias("n_paragraphs"), F.count("*").alias("n_sentences"))
 
 
 @query()
