@@ -117,3 +117,16 @@ def test_paragraphs_give_the_columns_asked_for(spark):
     found = frames.paragraphs(docs, fields=["sent_no", "para_idx"])
     assert found.columns == ["doc_id", "sent_no", "para_idx"]
     assert sorted(map(tuple, found.collect())) == [(1, 0, 0), (1, 0, 1), (1, 1, 0)]
+
+
+@pytest.mark.parametrize("options", [{}, {"compose": False}])
+def test_words_before_a_mark_are_lexed_without_the_steps(monkeypatch, options):
+    """documents_respaced"""
+    words = ["Hús", "nr", "kg", "maí", "USD", "IV", "C", "og", "þ", "ﬁx", "ªa", "日本"]
+    want = {word + c: [*lexer.Lexer(**options)._lex(word + c)] for word in words for c in lexer._CLOSING}
+    own = lexer.Lexer(**options)
+    monkeypatch.setattr(own, "_lex", None)
+    for text, pieces in want.items():
+        found = own.ready[" " + text]
+        assert [(t.kind, len(t.txt), t.val, type(t) is Inert) for t in found] == [(p.kind, p.size, p.val, p.inert) for p in pieces]
+        assert "".join(t.original for t in found) == " " + text
