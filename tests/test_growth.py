@@ -130,3 +130,10 @@ def test_words_before_a_mark_are_lexed_without_the_steps(monkeypatch, options):
         found = own.ready[" " + text]
         assert [(t.kind, len(t.txt), t.val, type(t) is Inert) for t in found] == [(p.kind, p.size, p.val, p.inert) for p in pieces]
         assert "".join(t.original for t in found) == " " + text
+
+
+def test_plain_texts_are_not_split_at_breaks(monkeypatch):
+    """sentence_numbers"""
+    text = "Pöntun 5 var send. Hún kostaði 1.234,50 kr. Henni var skilað!"
+    monkeypatch.setattr(segment, "_HARD_BREAK", None)
+    assert engine.Engine().sentences(text) == ["Pöntun 5 var send .", "Hún kostaði 1.234,50 kr.", "Henni var skilað !"]
